@@ -122,22 +122,21 @@ def last_view(spark, d):
     return J.asof_backward(bought, views, ["user_id"], "ts", "ts", ["view_id"], ["view_id"]).drop("ts")
 
 
-@query(
-    "j7_interval_join_fallback",
-    f"""WITH {EVENTS_SQL},
-        it AS (SELECT user_id, event_id AS item, day_secs AS t0, day_secs + 7200 AS t1 FROM ev
-               WHERE event_type = 'purchase'),
-        en AS (SELECT user_id, event_id AS entry, day_secs AS t FROM ev WHERE event_type = 'error'),
-        w AS (SELECT it.user_id, item, entry FROM it JOIN en USING (user_id)
-              WHERE t >= greatest(t0 - 255, 0) AND t < t1),
-        r AS (SELECT * FROM it WHERE item NOT IN (SELECT item FROM w)),
-        s AS (SELECT user_id, item, max(entry) AS entry FROM r JOIN en USING (user_id) WHERE t <= t0 GROUP BY 1, 2)
-        SELECT user_id, item, entry, 'within' AS rule FROM w
-        UNION ALL SELECT user_id, item, entry, 'start' FROM s
-        UNION ALL SELECT r.user_id, item, entry, 'all' FROM r JOIN en USING (user_id)
-        WHERE item NOT IN (SELECT item FROM s)""",
-)
-def windows_of_events(spark, d):
+WINDOWS_SQL = f"""{EVENTS_SQL},
+  it AS (SELECT user_id, event_id AS item, day_secs AS t0, day_secs + 7200 AS t1 FROM ev
+         WHERE event_type = 'purchase'),
+  en AS (SELECT user_id, event_id AS entry, day_secs AS t FROM ev WHERE event_type = 'error'),
+  w AS (SELECT it.user_id, item, entry FROM it JOIN en USING (user_id)
+        WHERE t >= greatest(t0 - 255, 0) AND t < t1),
+  r AS (SELECT * FROM it WHERE item NOT IN (SELECT item FROM w)),
+  s AS (SELECT user_id, item, max(entry) AS entry FROM r JOIN en USING (user_id) WHERE t <= t0 GROUP BY 1, 2),
+  pairs AS (SELECT user_id, item, entry, 'within' AS rule FROM w
+    UNION ALL SELECT user_id, item, entry, 'start' FROM s
+    UNION ALL SELECT r.user_id, item, entry, 'all' FROM r JOIN en USING (user_id)
+      WHERE item NOT IN (SELECT item FROM s))"""
+
+
+def _windows(spark, d):
     e = events(spark, d)
     wanted = e.where("event_type = 'purchase'").select(
         "user_id", F.col("event_id").alias("item"), F.col("day_secs").alias("t0"), (F.col("day_secs") + 7200).alias("t1")
@@ -145,7 +144,21 @@ def windows_of_events(spark, d):
     entries = e.where("event_type = 'error'").select(
         "user_id", F.col("event_id").alias("entry"), F.col("day_secs").alias("t")
     )
-    return J.interval_join_fallback(wanted, entries, ["user_id"], "item", "t0", "t1", "t", ["entry"], ["entry"])
+    return wanted, entries, ["user_id"], "item", "t0", "t1", "t", ["entry"], ["entry"]
+
+
+@query("j7_interval_join_fallback", f"WITH {WINDOWS_SQL} SELECT * FROM pairs")
+def windows_of_events(spark, d):
+    return J.interval_join_fallback(*_windows(spark, d))
+
+
+@query(
+    "j7_entry_ranges",
+    f"WITH {WINDOWS_SQL} SELECT user_id, item, rule, count(*) AS entries FROM pairs GROUP BY 1, 2, 3",
+)
+def ranges_of_events(spark, d):
+    ranges, _ = J.entry_ranges(*_windows(spark, d))
+    return ranges.select("user_id", "item", "rule", (F.col("last") - F.col("first") + 1).alias("entries"))
 
 
 @query(

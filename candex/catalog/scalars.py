@@ -39,7 +39,7 @@ def bit_fields(spark, d):
 @query(
     "x3_checked",
     """WITH v AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * o_custkey * 1000000000000 AS p,
-            CAST(o_orderkey AS HUGEINT) * 600000000000000 + 4611686018427387904 AS s FROM orders)
+            CAST(o_orderkey AS HUGEINT) * o_custkey * 1000 + 9223372036000000000 AS s FROM orders)
        SELECT o_orderkey, CASE WHEN p <= 9223372036854775807 THEN CAST(p AS BIGINT) END AS product,
          CASE WHEN p <= 9223372036854775807 THEN 'ok' ELSE 'overflow' END AS product_status,
          CASE WHEN s <= 9223372036854775807 THEN CAST(s AS BIGINT) END AS total,
@@ -47,7 +47,7 @@ def bit_fields(spark, d):
 )
 def checked(spark, d):
     product = X.checked_product("o_orderkey", "o_custkey", 1_000_000_000_000)
-    total = X.checked_sum(F.col("o_orderkey") * 600_000_000_000_000, 1 << 62)
+    total = X.checked_sum(F.col("o_orderkey") * F.col("o_custkey") * 1000, 9_223_372_036_000_000_000)
     out = table(spark, d, "orders").select("o_orderkey", product.alias("p"), total.alias("s"))
     return out.select(
         "o_orderkey", F.col("p.value").alias("product"), F.col("p.status").alias("product_status"),

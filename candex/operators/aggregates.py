@@ -40,39 +40,70 @@ def top_groups(
     return first_rows(sums, list(within), ["-total", *keys], k)
 
 
-def _mean_sd(n: Column, s: Column, sq: Column) -> dict:
-    n, s, sq = (v.cast(WIDE) for v in (n, s, sq))
-    spread = (n * sq - s * s).cast("double")
+# Bits of one digit of a sum. Digits are summed as plain longs and put together afterwards: exact for squares
+# below 2^63 and up to 2^42 rows, without a wide decimal per row.
+DIGIT = 21
+
+
+def _digit_sums(v: Column) -> list[Column]:
+    """Counts and sums of ``v`` and of its squares, by digits."""
+    low = F.lit((1 << DIGIT) - 1).cast("long")
+    sq = v * v
+    return [
+        F.count(v).alias("n"),
+        F.sum(v.bitwiseAND(low)).alias("s0"),
+        F.sum(F.shiftright(v, DIGIT)).alias("s1"),
+        F.sum(sq.bitwiseAND(low)).alias("q0"),
+        F.sum(F.shiftright(sq, DIGIT).bitwiseAND(low)).alias("q1"),
+        F.sum(F.shiftright(sq, 2 * DIGIT)).alias("q2"),
+    ]
+
+
+def _joined(parts: list[Column]) -> Column:
+    """A sum put together from its digits; nothing counts as 0."""
+    total = F.lit(0).cast(WIDE)
+    for i, p in enumerate(parts):
+        total = total + F.coalesce(p, F.lit(0).cast("long")).cast("decimal(19,0)") * F.lit(1 << (DIGIT * i)).cast(
+            "decimal(14,0)"
+        )
+    return total.cast(WIDE)
+
+
+def _moments(n: Column, s: list[Column], q: list[Column]) -> dict:
+    """Count, exact sums, mean and population standard deviation."""
+    total, squares = _joined(s), _joined(q)
+    spread = (n.cast(WIDE) * squares - total * total).cast("double")
+    count = n.cast("double")
     return {
-        "mean": F.when(n > 0, s.cast("double") / n.cast("double")).otherwise(0.0),
-        "stddev": F.when(n > 0, F.sqrt(spread) / n.cast("double")).otherwise(0.0),
+        "n": n,
+        "total": total,
+        "squares": squares,
+        "mean": F.when(n > 0, total.cast("double") / count).otherwise(0.0),
+        "stddev": F.when(n > 0, F.sqrt(spread) / count).otherwise(0.0),
     }
 
 
 def moments(df: DataFrame, keys: list[str], v) -> DataFrame:
     """Exact count, sum and sum of squares of integers, with mean and population standard deviation."""
-    v = _c(v).cast("long")
-    sums = df.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.coalesce(F.sum(v.cast(WIDE)), F.lit(0)).cast(WIDE).alias("total"),
-        F.coalesce(F.sum((v * v).cast(WIDE)), F.lit(0)).cast(WIDE).alias("squares"),
-    )
-    return sums.withColumns(_mean_sd(F.col("n"), F.col("total"), F.col("squares")))
+    sums = df.groupBy(*keys).agg(*_digit_sums(_c(v).cast("long")))
+    c = F.col
+    values = _moments(c("n"), [c("s0"), c("s1")], [c("q0"), c("q1"), c("q2")])
+    return sums.select(*keys, *[e.alias(name) for name, e in values.items()])
 
 
-def _class_sums(v: Column) -> list[Column]:
-    return [
-        F.count(v).alias("n"),
-        F.sum(v.cast(WIDE)).alias("s"),
-        F.sum((v * v).cast(WIDE)).alias("q"),
-    ]
+DIGITS = ("n", "s0", "s1", "q0", "q1", "q2")
 
 
-def _picked(field: str, keep, start) -> Column:
-    total = F.aggregate(
-        F.filter("_classes", keep), F.lit(0).cast(WIDE), lambda a, c: (a + c[field].cast(WIDE)).cast(WIDE)
-    )
-    return total.alias(start)
+def _class_moments(keep) -> dict:
+    """``_moments`` over the classes that ``keep`` accepts."""
+    chosen = F.filter("_classes", keep)
+
+    def add(field: str) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.aggregate(chosen, zero, lambda a, c: a + F.coalesce(c[field], zero))
+
+    n, s0, s1, q0, q1, q2 = (add(f) for f in DIGITS)
+    return _moments(n, [s0, s1], [q0, q1, q2])
 
 
 def grid_moments(df: DataFrame, keys: list[str], row: str, col: str, v, limits=(16_384, 262_144)) -> DataFrame:
@@ -82,15 +113,14 @@ def grid_moments(df: DataFrame, keys: list[str], row: str, col: str, v, limits=(
     The step is known only after the cells are counted. Sums are kept per (row mod 4, column mod 4), so one
     pre-aggregated pass serves every step: 16 classes per group are picked from afterwards.
     """
-    v = _c(v).cast("long")
     classes = df.groupBy(*keys, F.pmod(row, F.lit(4)).alias("_r"), F.pmod(col, F.lit(4)).alias("_k")).agg(
-        *_class_sums(v), F.count(F.lit(1)).alias("cells"), F.min(row).alias("r0"), F.min(col).alias("c0")
+        *_digit_sums(_c(v).cast("long")), F.count(F.lit(1)).alias("cells"), F.min(row).alias("r0"), F.min(col).alias("c0")
     )
     groups = classes.groupBy(*keys).agg(
         F.sum("cells").alias("_cells"),
         F.min("r0").alias("_r0"),
         F.min("c0").alias("_c0"),
-        F.collect_list(F.struct("_r", "_k", "n", "s", "q")).alias("_classes"),
+        F.collect_list(F.struct("_r", "_k", *DIGITS)).alias("_classes"),
     )
     small, medium = limits
     step = F.when(F.col("_cells") <= small, 1).when(F.col("_cells") <= medium, 2).otherwise(4)
@@ -100,10 +130,7 @@ def grid_moments(df: DataFrame, keys: list[str], row: str, col: str, v, limits=(
         on_row = F.pmod(c["_r"] - F.col("_r0"), F.col("step")) == 0
         return on_row & (F.pmod(c["_k"] - F.col("_c0"), F.col("step")) == 0)
 
-    out = groups.select(
-        *keys, "step", _picked("n", keep, "n"), _picked("s", keep, "total"), _picked("q", keep, "squares")
-    ).withColumn("n", F.col("n").cast("long"))
-    return out.withColumns(_mean_sd(F.col("n"), F.col("total"), F.col("squares")))
+    return groups.select(*keys, "step", *[e.alias(name) for name, e in _class_moments(keep).items()])
 
 
 def flat_lines(
@@ -114,26 +141,24 @@ def flat_lines(
 
     Integer arithmetic only: ``sum <= mean * n`` and ``n * squares - sum^2 <= variance * n^2``.
     """
-    v = _c(v).cast("long")
     classes = df.groupBy(*keys, line, F.pmod(pos, F.lit(4)).alias("_k")).agg(
-        *_class_sums(v), F.count(F.lit(1)).alias("cells"), F.min(pos).alias("p0")
+        *_digit_sums(_c(v).cast("long")), F.count(F.lit(1)).alias("cells"), F.min(pos).alias("p0")
     )
     lines = classes.groupBy(*keys, line).agg(
         F.sum("cells").alias("_cells"),
         F.min("p0").alias("_p0"),
-        F.collect_list(F.struct("_k", "n", "s", "q")).alias("_classes"),
+        F.collect_list(F.struct("_k", *DIGITS)).alias("_classes"),
     )
     lines = lines.withColumn("step", F.when(F.col("_cells") >= long_line, 4).otherwise(2))
 
     def keep(c: Column) -> Column:
         return F.pmod(c["_k"] - F.col("_p0"), F.col("step")) == 0
 
-    lines = lines.select(
-        *keys, line, "step", _picked("n", keep, "n"), _picked("s", keep, "total"), _picked("q", keep, "squares")
-    )
-    n, s, q = F.col("n"), F.col("total"), F.col("squares")
+    values = _class_moments(keep)
+    lines = lines.select(*keys, line, "step", *[values[f].alias(f) for f in ("n", "total", "squares")])
+    n, s, q = F.col("n").cast(WIDE), F.col("total"), F.col("squares")
     flat = (n > 0) & (s <= n * max_mean) & (n * q - s * s <= n * n * max_variance)
-    return lines.withColumn("flat", F.coalesce(flat, F.lit(False))).withColumn("n", n.cast("long"))
+    return lines.withColumn("flat", F.coalesce(flat, F.lit(False)))
 
 
 def box_reduce(df: DataFrame, keys: list[str], row: str, col: str, v, factor: int, origin=(0, 0)) -> DataFrame:

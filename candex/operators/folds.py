@@ -51,8 +51,6 @@ def budget_greedy(
     """
     fits = df.where(F.col(cost).between(0, budget))
     fits = fits.withColumns({"_left": F.lit(budget).cast("long"), "_quota": F.lit(max_n)})
-    if fold_rows is None and limits.small_input(df):
-        return _greedy_fold(fits, keys, order, cost)
     fold_rows = fold_rows or limits.limit(df.sparkSession, "foldRows")
     by = [F.col(k) for k in keys]
     taken, rest = None, fits

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from candex.plans import limits
 from candex.plans.ordered import first_rows
 
+# Fixed value: most links looked at in one node.
+MAX_LINKS = 128
+
 
 def resolve_paths(
     entries: DataFrame, by: list[str], entry: str, parent: str, name: str, max_depth: int = 64, separator: str = "/"
@@ -55,10 +58,12 @@ def lookup_path(
 
 
 def follow_links(
-    nodes: DataFrame, links: DataFrame, node: str, terminal: str, ordinal: str, target: str, max_depth: int = 4
+    nodes: DataFrame, links: DataFrame, node: str, terminal: str, ordinal: str, target: str, max_depth: int = 4,
+    max_links: int = MAX_LINKS,
 ) -> DataFrame:
     """The terminal each node leads to: its own, or the first one found by trying its links in listed order, at
-    most ``max_depth`` links deep; a path never meets a node twice. Columns ``node, found, hops``.
+    most ``max_depth`` links deep; a path never meets a node twice. The first ``max_links`` links of a node are
+    listed, later ones are not part of it. Columns ``node, found, hops``.
 
     Paths are compared by their link numbers, so the smallest one is what a depth-first search meets first. A
     node is reached again from the same start only by a smaller path, and nothing beyond a start's best find
@@ -76,6 +81,7 @@ def follow_links(
     front = start.where(F.col("_end").isNull()).drop("_end")
     reached = front.select("_from", "_at", "_path")
     edges = links.select(F.col(node).alias("_at"), F.col(ordinal).cast("int").alias("_o"), F.col(target).alias("_to"))
+    edges = first_rows(edges, ["_at"], ["_o"], max_links)
     for _ in range(max_depth):
         step = front.join(edges, "_at").where(~F.array_contains("_seen", F.col("_to")))
         step = step.select(

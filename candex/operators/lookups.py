@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candex.functions.numbers import _c, int_div
-from candex.plans.joins import asof, explode_range, spans_join
-from candex.plans.ordered import ordered, position, running_sum
+from candex.plans.joins import asof, explode_range, rank_bounds, ranks_join
+from candex.plans.ordered import group_max, group_sum, ordered, position, running_max, running_sum
 
 # Bytes that hold the picture at an entry point, per profile, for size codes 1 to 6.
 PICTURE_BOUNDS = {
@@ -88,8 +88,8 @@ def slice_extents(
     ``key, request, ord`` (1-based extent, null past the end), ``start, stop`` (file offsets), ``hole``, and
     ``address`` = sector + offset within the extent. ``(key, request)`` is unique among the requests.
 
-    Extents tile the file, so a request covers a run of extent numbers: two as-of lookups give its ends and
-    the pieces come from an equi-join on (file, extent number), which spreads even one huge file.
+    Extents tile the file, so a request covers a run of extent numbers: one scan over both sides gives its
+    ends and the pieces come from an equi-join on (file, extent number), which spreads even one huge file.
     """
     placed = (
         ordered(extents.where(F.col(ext_len) > 0), [key], order, group_rows)
@@ -99,13 +99,14 @@ def slice_extents(
     )
     stop = F.least(F.col(off) + F.col(length), F.col(size))
     wanted = requests.select(key, request, F.col(off).cast("long").alias("_off"), stop.cast("long").alias("_stop"))
-    wanted = wanted.where("_off < _stop").withColumn("_last", F.col("_stop") - 1)
-    wanted = asof(wanted, placed, [key], "_off", "ext_start", ["ord", "ext_stop"], match="_a", group_rows=group_rows)
-    wanted = asof(wanted, placed, [key], "_last", "ext_start", ["ord", "ext_stop"], match="_b", group_rows=group_rows)
-    # The last extent that begins at or before the request may already have ended: nothing but the tail.
-    past = F.coalesce(F.col("_a.ext_stop") <= F.col("_off"), F.lit(True))
-    wanted = wanted.withColumn("_covered", F.coalesce(F.col("_b.ext_stop"), F.lit(0).cast("long")))
-    runs = explode_range(wanted.where(~past), F.col("_a.ord"), F.col("_b.ord") + 1, "ord")
+    wanted = wanted.where("_off < _stop")
+    # Starts increase with the extent number, so the rank of a start is that number.
+    runs, _ = rank_bounds(
+        wanted, placed, [key], [request, "_off", "_stop"], {"_a": (F.col("_off"), True), "_b": (F.col("_stop"), False)},
+        "ext_start", ["ord"], ["ext_stop"], group_rows, _covered=group_max("_point.ext_stop"),
+    )
+    wanted = runs.select(key, "_span.*", "_a", "_b", F.coalesce("_covered", F.lit(0).cast("long")).alias("_covered"))
+    runs = explode_range(wanted.where("_off < _covered"), F.col("_a"), F.col("_b") + 1, "ord")
     pieces = runs.select(key, request, "_off", "_stop", "ord").join(placed, [key, "ord"])
     begin = F.greatest("_off", "ext_start")
     pieces = pieces.select(
@@ -159,30 +160,44 @@ def asof_backward(
     return out.select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in payload])
 
 
-def interval_join_fallback(
+def entry_ranges(
     items: DataFrame, entries: DataFrame, by: list[str], item: str, in_time: str, out_time: str, t: str,
     order: list[str], payload: list[str], slack: int = 255, group_rows: int | None = None,
-) -> DataFrame:
-    """Entries with ``in - slack <= t < out`` per item; without any, the last one in stream order at or before
-    ``in``; without that, every entry of the item's key. ``rule`` names which one applied.
+) -> tuple[DataFrame, DataFrame]:
+    """``(ranges, ranked)``: per item the ``rule`` and the ranks ``first .. last`` of its entries.
 
-    ``item`` is unique per ``by``; ``payload`` should identify the entry.
+    Rules: ``within``, entries with ``in - slack <= t < out``; without any ``start``, the last one in stream
+    ``order`` at or before ``in``; without that ``all`` entries of the key. ``ranked`` holds the entries with
+    their ``_rank`` by time. One row per item, however many entries a range covers: sample or cap ranges before
+    joining them to the entries. Items of keys without entries are dropped; ``item`` is unique per ``by``.
     """
     low = F.greatest(F.col(in_time) - slack, F.lit(0))
-    within = spans_join(
-        items, entries, by, [item], low, F.col(out_time), t, payload, group_rows=group_rows
-    ).withColumn("rule", F.lit("within"))
-    served = within.select(*by, item).distinct()
-    rest = items.join(served, [*by, item], "left_anti")
-    rest = asof(rest, entries, by, in_time, t, payload, order, "_m", group_rows)
-    last = rest.where(F.col("_m").isNotNull()).select(*by, item, "_m.*", F.lit("start").alias("rule"))
-    every = (
-        rest.where(F.col("_m").isNull())
-        .select(*by, item)
-        .join(entries.select(*by, *payload), by)
-        .withColumn("rule", F.lit("all"))
+    # The latest entry in stream order is wanted at IN: that bound comes first.
+    bounds = {"_in": (F.col(in_time), True), "_lo": (low, False), "_hi": (F.col(out_time), False)}
+    last = F.when(F.col("_side") == 1, F.struct(F.col("_at").alias("at"), F.col("_rank").alias("rank")))
+    runs, ranked = rank_bounds(
+        items, entries, by, [item], bounds, t, order, payload, group_rows,
+        _start=running_max(last), _total=group_sum((F.col("_side") == 1).cast("long")),
     )
-    return within.unionByName(last).unionByName(every)
+    within, begins = F.col("_hi") > F.col("_lo"), F.col("_start").isNotNull()
+    ranges = runs.where("_total > 0").select(
+        *by,
+        "_span.*",
+        F.when(within, "within").when(begins, "start").otherwise("all").alias("rule"),
+        F.when(within, F.col("_lo") + 1).when(begins, F.col("_start.rank")).otherwise(1).alias("first"),
+        F.when(within, F.col("_hi")).when(begins, F.col("_start.rank")).otherwise(F.col("_total")).alias("last"),
+    )
+    return ranges, ranked
+
+
+def interval_join_fallback(
+    items: DataFrame, entries: DataFrame, by: list[str], item: str, in_time: str, out_time: str, t: str,
+    order: list[str], payload: list[str], slack: int = 255, group_rows: int | None = None,
+) -> DataFrame:
+    """The entries of each item by the rules of ``entry_ranges``: ``by, item, payload, rule``."""
+    ranges, ranked = entry_ranges(items, entries, by, item, in_time, out_time, t, order, payload, slack, group_rows)
+    pairs = ranks_join(ranges, ranked, by, "first", "last")
+    return pairs.select(*by, item, "_point.*", "rule")
 
 
 def resolve_start(

@@ -260,10 +260,16 @@ def first_rows(df: DataFrame, keys, order, n: int = 1, number: str = "") -> Data
     """The first ``n`` rows of each group in ``order``; ``number`` names a column for their place, from 1.
 
     A constant ``n`` lets Spark limit each map task's groups before the shuffle (WindowGroupLimit), so a hot
-    group sends at most ``n`` rows per task.
+    group sends at most ``n`` rows per task. Spark does so up to a threshold; larger ``n`` use a scan.
     """
-    place = F.row_number().over(W.partitionBy(*[_column(k) for k in keys]).orderBy(*sort_columns(order)))
-    out = df.withColumn("_rn", place).where(F.col("_rn") <= n)
+    keys = [_column(k) for k in keys]
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        names = [f"_by{i}" for i in range(len(keys))]
+        groups = ordered(df.withColumns(dict(zip(names, keys))), names, order)
+        out = groups.scan(_rn=position()).where(F.col("_rn") <= n).rows(*names)
+    else:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*sort_columns(order)))
+        out = df.withColumn("_rn", place).where(F.col("_rn") <= n)
     if number:
         out = out.withColumn(number, F.col("_rn").cast("long"))
     return out.drop("_rn")
