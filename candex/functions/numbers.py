@@ -56,14 +56,30 @@ def tick_scale(v, from_hz: int, to_hz: int) -> Column:
 
 def checked_sum(*values) -> Column:
     """``struct(value, status)``: the sum, or null and ``overflow``."""
-    total = reduce(F.try_add, [_c(v).cast("long") for v in values])
-    return _checked(total)
+    return _checked(reduce(_sum_or_null, [_c(v).cast("long") for v in values]))
 
 
 def checked_product(*values) -> Column:
     """``struct(value, status)``: the product, or null and ``overflow``."""
-    total = reduce(F.try_multiply, [_c(v).cast("long") for v in values])
-    return _checked(total)
+    return _checked(reduce(_product_or_null, [_c(v).cast("long") for v in values]))
+
+
+LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
+
+
+# Comparing against the bounds first keeps rows that overflow as cheap as the others: the try_ functions raise
+# and catch an exception for each of them.
+def _sum_or_null(a: Column, b: Column) -> Column:
+    fits = F.when(b >= 0, a <= F.lit(LONG_MAX) - b).otherwise(a >= F.lit(LONG_MIN) - b)
+    return F.when(fits, a + b)
+
+
+def _product_or_null(a: Column, b: Column) -> Column:
+    least = (a == LONG_MIN) | (b == LONG_MIN)
+    size = F.abs(F.when(b == 0, 1).otherwise(b))
+    below = -F.abs(a) >= int_div(F.lit(LONG_MIN), size)
+    small = F.when((a < 0) != (b < 0), below).otherwise(F.abs(a) <= int_div(F.lit(LONG_MAX), size))
+    return F.when(least, F.try_multiply(a, b)).when((b == 0) | small, a * b)
 
 
 def _checked(total: Column) -> Column:
@@ -105,10 +121,6 @@ def reduction_factor(w, h, side, num=1, den=1) -> Column:
     )
 
 
-# Euclid's steps for two positive 63-bit numbers never exceed this (Fibonacci numbers are the worst case).
-EUCLID_STEPS = 92
-
-
 def ratio_reduce(a, b) -> Column:
     """``struct(num, den)`` divided by their greatest common divisor; a zero term gives 1:1."""
     a, b = _c(a).cast("long"), _c(b).cast("long")
@@ -120,9 +132,11 @@ def ratio_reduce(a, b) -> Column:
             F.when(done, acc["y"]).otherwise(acc["x"] % F.when(done, 1).otherwise(acc["y"])).alias("y"),
         )
 
-    start = F.struct(a.alias("x"), b.alias("y"))
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(EUCLID_STEPS)), start, step)["x"]
     zero = (a == 0) | (b == 0)
+    start = F.struct(a.alias("x"), b.alias("y"))
+    # Euclid's steps are at most log(smaller) / log(golden ratio), plus one to put the larger number first.
+    steps = F.ceil(F.log2(F.when(zero, 1).otherwise(F.least(a, b)).cast("double")) * 1.4405).cast("int") + 3
+    gcd = F.aggregate(F.sequence(F.lit(1), steps), start, step)["x"]
     one = F.lit(1).cast("long")
     safe = F.when(zero, one).otherwise(gcd)
     return F.struct(

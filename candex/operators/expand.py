@@ -46,11 +46,11 @@ def rle_encode(df: DataFrame, keys: list[str], order: list[str], v: str, group_r
 def paint_last(df: DataFrame, keys: list[str], start: str, stop: str, draw_no: str, value: str) -> DataFrame:
     """Cells covered by ``[start, stop)`` intervals show the last drawn: ``keys, cell, value``.
 
+    ``draw_no`` is unique per ``keys``.
     Cells are reduced on the map side, so overlapping intervals of a hot group meet already partly merged.
     """
     cells = explode_range(df.select(*keys, start, stop, draw_no, value), F.col(start), F.col(stop), "cell")
-    top = cells.groupBy(*keys, "cell").agg(F.max(F.struct(draw_no, value)).alias("_top"))
-    return top.select(*keys, "cell", F.col(f"_top.{value}").alias("value"))
+    return cells.groupBy(*keys, "cell").agg(F.max_by(value, draw_no).alias("value"))
 
 
 def nested_flatten(df: DataFrame, path: list[str], keep: list[str]) -> DataFrame:

@@ -73,6 +73,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are kept in the shared folder and survive the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage: the rows are written to the shared folder and survive the loss of executors.
+
+    A written table also tells the optimizer its true size, so later joins with a small one broadcast it.
+    """
+    path = scratch_path(df.sparkSession, "pin")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
