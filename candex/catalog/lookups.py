@@ -269,8 +269,6 @@ def resolvable(spark, d):
        FROM p LEFT JOIN b ON p.code = b.code AND p.profile = b.profile""",
 )
 def bounded_codes(spark, d):
-    rows = [(p, i + 1, b) for p, sizes in J.PICTURE_BOUNDS.items() for i, b in enumerate(sizes)]
-    bounds = spark.createDataFrame(rows, "profile STRING, code INT, bound BIGINT")
     parts = table(spark, d, "part").select(
         "p_partkey", (F.col("p_size") % 8).alias("code"),
         F.when(F.col("p_type") == "LARGE", "uhd").otherwise("hd").alias("profile"),
@@ -280,7 +278,7 @@ def bounded_codes(spark, d):
         return F.when(F.col("profile") == "uhd", values["uhd"]).otherwise(values["hd"]).cast("long")
 
     return J.code_bound(
-        parts, bounds, "code", "profile", "bound", per_profile(J.DEFAULT_SPANS), per_profile(J.MAX_SPANS), J.SPAN_EXTRA
+        parts, J.picture_bounds(spark), "code", "profile", "bound", per_profile(J.DEFAULT_SPANS), per_profile(J.MAX_SPANS), J.SPAN_EXTRA
     ).select("p_partkey", "code", "profile", "bound")
 
 

@@ -6,7 +6,7 @@ execution splits the hot keys of the others (one side is unique in each lookup h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candex.functions.numbers import _c, int_div
@@ -25,6 +25,14 @@ MAX_SPANS = {"hd": 2 << 20, "uhd": 6 << 20}
 SPAN_EXTRA = 6144
 
 
+def picture_bounds(spark: SparkSession) -> DataFrame:
+    """``PICTURE_BOUNDS`` as a table of profile, code and bound."""
+    rows = ", ".join(
+        f"('{profile}', {code}, {bound}L)" for profile, sizes in PICTURE_BOUNDS.items() for code, bound in enumerate(sizes, 1)
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(profile, code, bound)")
+
+
 def range_lookup(
     points: DataFrame, ranges: DataFrame, p: str, first: str, blocks: str, target: str, by=(), group_rows=None
 ) -> DataFrame:

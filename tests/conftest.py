@@ -1,5 +1,4 @@
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -25,8 +24,3 @@ def hot(spark):
     yield spark
     for name in values:
         spark.conf.unset(f"spark.candex.{name}")
-
-
-@pytest.fixture()
-def folder():
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

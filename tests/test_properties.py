@@ -28,8 +28,7 @@ SCHEMA = "k STRING, a INT, b INT, v INT, f BOOLEAN"
 SIZES = {"hot": 400, "warm": 60, "one": 1, None: 90}
 
 
-@pytest.mark.parametrize("group_rows", [10, 75, 1000])
-@pytest.mark.parametrize("order", [["a", "b"], ["-a", "b"], ["a", "-b"]])
+@pytest.mark.parametrize("group_rows, order", [(10, ["a", "b"]), (75, ["-a", "b"]), (75, ["a", "-b"]), (1000, ["a", "b"])])
 def test_scan_is_the_same_in_chunks(spark, group_rows, order):
     df = spark.createDataFrame(groups(1, SIZES), SCHEMA)
     steps = {
