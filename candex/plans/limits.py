@@ -53,23 +53,20 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit(df.sparkSession, "broadcastRows") else df
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if named is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-        current = named
-    return named or current
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir`` or set on the context; a temporary one only on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for one written table in the shared folder."""
-    return f"{checkpoint_dir(spark)}/candex-{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/candex-{label}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame) -> DataFrame:

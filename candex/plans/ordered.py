@@ -132,7 +132,7 @@ class Ordered:
     order: tuple
     cold: DataFrame
     hot: DataFrame | None = None
-    hot_keys: int = 0
+    carry_rows: int = 0
 
     def _each(self, change) -> Ordered:
         return replace(self, cold=change(self.cold), hot=None if self.hot is None else change(self.hot))
@@ -208,8 +208,8 @@ class Ordered:
             elif not s.kind.startswith("group_"):
                 local[f"_l_{name}"] = _plain(s, inner, inner)
         rows = chunked.withColumns(local) if local else chunked
-        # One row per (hot group, chunk): at most hot groups + chunks.
-        table = limits.broadcast_if(table, self.hot_keys + self.hot.rdd.getNumPartitions())
+        # One row per (hot group, chunk). Written out, or every later scan would compute this one twice more.
+        table = limits.broadcast_if(limits.pin(table), self.carry_rows)
         match = same_keys(by + [F.col(CHUNK)], [F.col(f"_k{i}") for i in range(len(keys))] + [F.col("_kc")])
         rows = rows.join(table, match, "left")
 
@@ -250,10 +250,11 @@ def ordered(df: DataFrame, keys, order, group_rows: int | None = None) -> Ordere
         hot, cold = df.join(names, match, "left_semi"), df.join(names, match, "left_anti")
     else:
         hot, cold = df, df.where(F.lit(False))
-    chunks = -(-rows // group_rows) + 1
-    hot = hot.repartitionByRange(int(chunks), *by, *sort_columns(order))
+    chunks = int(-(-rows // group_rows) + 1)
+    hot = hot.repartitionByRange(chunks, *by, *sort_columns(order))
     hot = limits.pin(hot.withColumn(CHUNK, F.spark_partition_id()))
-    return Ordered(keys, order, cold, hot, int(found))
+    # A chunk ends at most one group that began before it, so (group, chunk) pairs are at most groups + chunks.
+    return Ordered(keys, order, cold, hot, found + chunks)
 
 
 def first_rows(df: DataFrame, keys, order, n: int = 1, number: str = "") -> DataFrame:

@@ -105,14 +105,16 @@ def stream_start_gate(sdf: DataFrame, keys: list[str], order: list[str], t: str,
     state = StructType([StructField("open", BooleanType())])
 
     def push(key, batches, held: GroupState):
-        opened = held.exists and held.get[0]
+        if held.exists and held.get[0]:
+            # Open since an earlier micro-batch: nothing to sort or to hold.
+            for rows in batches:
+                yield rows[names]
+            return
         rows = _in_order(batches, order)
-        if not opened:
-            seen = (rows[t] >= rows[at]).fillna(False).cummax()
-            rows, opened = rows[seen], bool(seen.iloc[-1])
-        held.update((bool(opened),))
-        if len(rows):
-            yield rows[names]
+        seen = (rows[t] >= rows[at]).fillna(False).cummax()
+        held.update((bool(seen.iloc[-1]),))
+        if seen.any():
+            yield rows[seen][names]
 
     return _keyed(sdf, keys, push, sdf.schema, state)
 
