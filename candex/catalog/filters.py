@@ -12,6 +12,7 @@ from candex.operators.filters import (
     keep_where,
     quality_band,
     quarantine,
+    settle_errors,
     size_gate,
 )
 from candex.plans import limits
@@ -252,6 +253,27 @@ def quarantined(spark, d):
     return both.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "f11_settle_errors",
+    """WITH a AS (SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'too large' ELSE 'corrupt' END AS status,
+                    'first ' || lang AS reason FROM documents),
+            b AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'not found' ELSE 'no volume' END AS status,
+                    'second' AS reason FROM labels)
+       SELECT doc_id, CASE WHEN b.status = 'no volume' THEN a.status ELSE b.status END AS status,
+         CASE WHEN b.status = 'no volume' THEN a.reason ELSE b.reason END AS reason FROM a JOIN b USING (doc_id)""",
+)
+def settled(spark, d):
+    first = table(spark, d, "documents").select(
+        "doc_id", F.when(F.col("n_chars") > 2000, "too large").otherwise("corrupt").alias("status"),
+        F.concat(F.lit("first "), "lang").alias("reason"),
+    )
+    second = table(spark, d, "labels").select(
+        "doc_id", F.when(F.col("quality") == 0, "not found").otherwise("no volume").alias("status"),
+        F.lit("second").alias("reason"),
+    )
+    return settle_errors(first, second, ["doc_id"])
+
+
 @query(
     "f12_checksum_gate",
     """WITH b AS (SELECT c_custkey, c_name, c_nationkey, unnest(string_split(c_name, '')) AS c FROM customer)

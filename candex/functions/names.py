@@ -22,6 +22,18 @@ DISC_NAME_RULES = [
 # Size letter before the extension of a jacket picture, largest first.
 JACKET_SIZES = ["L", "M", "S"]
 
+# Leading bytes of the still pictures that are read.
+PICTURE_SIGNATURES = [
+    ("jpeg", b"\xff\xd8\xff"),
+    ("png", b"\x89PNG\r\n\x1a\n"),
+    ("gif", b"GIF87a"),
+    ("gif", b"GIF89a"),
+    ("bmp", b"BM"),
+]
+
+# Versions of disc structure files that are read, to follow their magic.
+STRUCTURE_VERSIONS = ["0100", "0200", "0240", "0300"]
+
 # Largest unsigned 64-bit value.
 U64_MAX = (1 << 64) - 1
 
@@ -115,17 +127,16 @@ def clean_name(name, cut: str = ";", trim: str = ".") -> Column:
     return F.when(base != "", base)
 
 
-def sniff_signature(content, signatures) -> Column:
+def sniff_signature(content, signatures=PICTURE_SIGNATURES) -> Column:
     """Kind of the first ``(kind, prefix[, versions])`` that the content starts with, else ``unknown``.
 
-    With ``versions``, one of them must follow the prefix.
+    With ``versions``, one of them must follow the prefix. Prefixes are text or bytes like the content.
     """
     content = _c(content)
     out = F.when(F.lit(False), F.lit(""))
     for kind, prefix, *rest in signatures:
-        starts = content.startswith(prefix)
-        if rest:
-            starts = starts & reduce(lambda a, b: a | b, [content.startswith(prefix + v) for v in rest[0]])
+        prefixes = [prefix + v for v in rest[0]] if rest else [prefix]
+        starts = reduce(lambda a, b: a | b, [F.startswith(content, F.lit(p)) for p in prefixes])
         out = out.when(starts, F.lit(kind))
     return out.otherwise(F.lit("unknown"))
 

@@ -277,9 +277,11 @@ def reassemble(
     return out.select(*keys, "fragment", "parts", text.alias("text"), "complete")
 
 
-def chunk_coverage(df: DataFrame, keys: list[str], off, length, chunk: int = 32_768) -> DataFrame:
+def chunk_coverage(
+    df: DataFrame, keys: list[str], off, length, chunk: int = 32_768, sizes: DataFrame | None = None, size: str = "size"
+) -> DataFrame:
     """Chunks and bytes read per key: ranges shorter than a chunk load the aligned chunks they touch (each
-    once), longer ones are read directly."""
+    once), longer ones are read directly. With ``sizes`` (one ``size`` per key) a last chunk ends there."""
     spans = df.select(*keys, _c(off).cast("long").alias("_o"), _c(length).cast("long").alias("_l")).where("_l > 0")
     long = F.col("_l") >= chunk
     # A range shorter than a chunk touches at most two of them.
@@ -287,14 +289,20 @@ def chunk_coverage(df: DataFrame, keys: list[str], off, length, chunk: int = 32_
         F.array(int_div("_o", chunk), int_div(F.col("_o") + F.col("_l") - 1, chunk))
     )
     small = spans.where(~long).select(*keys, F.explode(touched).alias("_chunk")).distinct()
+    loaded = F.lit(chunk).cast("long")
+    if sizes is not None:
+        small = small.join(sizes.select(*keys, F.col(size).alias("_size")), keys, "left")
+        loaded = F.least(loaded, F.col("_size") - F.col("_chunk") * chunk)
     cached = small.select(
-        *keys, F.lit(1).alias("chunks"), F.lit(0).alias("direct_reads"), F.lit(0).cast("long").alias("direct_bytes")
+        *keys, F.lit(1).alias("chunks"), loaded.alias("chunk_bytes"), F.lit(0).alias("direct_reads"),
+        F.lit(0).cast("long").alias("direct_bytes"),
     )
     direct = spans.where(long).select(
-        *keys, F.lit(0).alias("chunks"), F.lit(1).alias("direct_reads"), F.col("_l").alias("direct_bytes")
+        *keys, F.lit(0).alias("chunks"), F.lit(0).cast("long").alias("chunk_bytes"), F.lit(1).alias("direct_reads"),
+        F.col("_l").alias("direct_bytes"),
     )
     out = cached.unionByName(direct).groupBy(*keys).agg(
         F.sum("chunks").alias("chunks"), F.sum("direct_reads").alias("direct_reads"),
-        F.sum("direct_bytes").alias("direct_bytes"),
+        F.sum("direct_bytes").alias("direct_bytes"), F.sum("chunk_bytes").alias("_cached"),
     )
-    return out.withColumn("bytes", F.col("chunks") * chunk + F.col("direct_bytes"))
+    return out.withColumn("bytes", F.col("_cached") + F.col("direct_bytes")).drop("_cached")

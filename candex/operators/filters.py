@@ -57,6 +57,19 @@ def quarantine(df: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
     return good, rejects.select(*df.columns, "_why.status", "_why.reason")
 
 
+def settle_errors(
+    first: DataFrame, second: DataFrame, keys: list[str], status: str = "status", weak: str = "no volume"
+) -> DataFrame:
+    """The error of inputs that two attempts in turn left without a result: the second one's, unless that is
+    only the ``weak`` one (nothing to look at), in which case the first one's stands."""
+    fields = [c for c in first.columns if c not in keys]
+    a = first.select(*keys, F.struct(*fields).alias("_a"))
+    b = second.select(*keys, F.struct(*fields).alias("_b"))
+    both = a.join(b, keys)
+    stands = F.when(F.col(f"_b.{status}") == weak, F.col("_a")).otherwise(F.col("_b"))
+    return both.select(*keys, stands.alias("_e")).select(*keys, "_e.*")
+
+
 def checksum_gate(df: DataFrame, text, expected, skip: int | None = None) -> DataFrame:
     """Keeps rows whose bytes sum to the stored check value modulo 256."""
     return df.where(byte_sum(text, skip) == _c(expected))

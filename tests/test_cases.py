@@ -88,6 +88,12 @@ def test_sniff_with_versions(spark):
         assert one(spark, N.sniff_signature("name", kinds), text) == want
 
 
+def test_sniff_bytes(spark):
+    kinds = [(b"\xff\xd8\xff\xe0", "jpeg"), (b"\x89PNG\r\n\x1a\n..", "png"), (b"GIF89a", "gif"), (b"BM6", "bmp"), (b"\xff\xd8", "unknown")]
+    df = spark.createDataFrame([(bytearray(b), w) for b, w in kinds], "content BINARY, want STRING")
+    assert df.where(N.sniff_signature("content") != F.col("want")).count() == 0
+
+
 def test_byte_sum_counts_bytes_and_skips(spark):
     for text in ["abc", "é€", ""]:
         assert one(spark, N.byte_sum("name"), text) == sum(text.encode()) % 256
@@ -269,6 +275,8 @@ def test_chunk_coverage(spark):
     df = spark.createDataFrame([("k", 0, 100), ("k", 90, 20), ("k", 250, 100), ("k", 10, 0), ("k", 99, 2)], "k STRING, o INT, n INT")
     # Chunks of 100: 0, 0-1, 0-1; one direct read of 100 at 250 and one of 100 at 0.
     assert A.chunk_coverage(df, ["k"], "o", "n", 100).first() == ("k", 2, 2, 200, 400)
+    sizes = spark.createDataFrame([("k", 130)], "k STRING, size INT")
+    assert A.chunk_coverage(df, ["k"], "o", "n", 100, sizes).first() == ("k", 2, 2, 200, 330)
 
 
 def _slices(spark, requests):

@@ -13,9 +13,8 @@ EMPTY = {"j10_semi_supported"}
 # Queries whose operators scan ordered groups.
 SCANS = [
     "a8_stream_verdict", "a12_reassemble_close", "a12_reassemble_replace", "a12_reassemble_stop", "j1_range_lookup",
-    "j4_slice_extents", "j5_locate_offset", "j6_asof_backward", "j7_entry_ranges", "j7_interval_join_fallback",
-    "r1_rle_expand", "r2_rle_encode", "r5_best_positions", "w1_strictly_increasing", "w2_expand_index",
-    "w3_marks_to_spans", "w4_take_while", "w5_edge_trim", "w6_cumulative_offsets", "w7_islands", "w8_budget_clipped",
+    "j6_asof_backward", "j7_entry_ranges", "j7_interval_join_fallback",
+    "r2_rle_encode", "r5_best_positions", "w1_strictly_increasing", "w3_marks_to_spans", "w4_take_while", "w5_edge_trim", "w7_islands", "w8_budget_clipped",
     "w9_budget_greedy", "w11_permille_sample", "w13_rank_candidates", "w17_last_assignment", "w19_start_gate",
     "w20_until_marker",
 ]
