@@ -231,49 +231,56 @@ def reassemble(
     on_new_first: str = "close",
     separator: str = "",
     max_length: int = 1 << 20,
+    stated: str | None = None,
+    broken: str | None = None,
     group_rows: int | None = None,
 ) -> DataFrame:
     """Joins a first part and its continuations.
 
-    Continuations without a first, or after the last part, are dropped. A new first closes the fragment before
-    it (``close``, packets: every fragment is kept), replaces it (``replace``, objects: the last fragment of
-    the key stays) or stops the set (``stop``, compositions: the first one stays). Fragments longer than
-    ``max_length`` are dropped, as no packet can be that long; only rows within the bound are ever gathered.
-    Output: ``keys, fragment, parts, text, complete``.
+    A fragment is complete at its last part, or once it holds the length ``stated`` in its first row (it is cut
+    there). Continuations without a first, or after completion, are dropped; so is everything from a ``broken``
+    row to the next first. A new first closes the fragment before it (``close``, packets: every fragment is
+    kept), replaces it (``replace``, objects: the last fragment of the key stays) or stops the set (``stop``,
+    compositions: the first one stays). Fragments longer than ``max_length`` are dropped, as no packet can be
+    that long; only rows within the bound are ever gathered. Output: ``keys, fragment, parts, text, complete``.
     """
-    first = F.coalesce(F.col(is_first), F.lit(False))
-    last = F.coalesce(F.col(is_last), F.lit(False))
-    size = (F.length(F.coalesce(F.col(part), F.lit(""))) + len(separator)).cast("long")
+    no = F.lit(False)
+    bad = no if broken is None else F.coalesce(F.col(broken), no)
+    first = F.coalesce(F.col(is_first), no) & ~bad
+    last = F.coalesce(F.col(is_last), no) & ~bad
+    wanted = F.lit(None).cast("long") if stated is None else F.when(F.col(stated) > 0, F.col(stated).cast("long"))
+    size = F.when(bad, 0).otherwise(F.length(F.coalesce(F.col(part), F.lit(""))) + len(separator)).cast("long")
     rows = ordered(df, keys, order, group_rows).scan(
-        fragment=running_count(first), _ends=running_count(last, inclusive=False), _len=running_sum(size)
+        fragment=running_count(first), _ends=running_count(last | bad, inclusive=False), _len=running_sum(size)
     )
     rows = rows.where(F.col("fragment") > 0)
-    # Values at the fragment's first row: ends seen and length gathered before it.
-    steps = {
-        "_at": running_last(
-            F.when(first, F.struct(F.col("_ends").alias("ends"), (F.col("_len") - size).alias("len")))
-        )
-    }
+    # Values at the fragment's first row: ends seen and length gathered before it, length stated.
+    begin = F.struct(F.col("_ends").alias("ends"), (F.col("_len") - size).alias("len"), wanted.alias("stated"))
+    steps = {"_at": running_last(F.when(first, begin))}
     if on_new_first == "replace":
         steps["_top"] = group_max("fragment")
     rows = rows.scan(**steps)
     rows = rows.with_columns(_used=F.col("_len") - F.col("_at.len") - len(separator)).rows()
-    rows = rows.where(F.col("_ends") == F.col("_at.ends"))
+    used, goal = F.col("_used"), F.col("_at.stated")
+    rows = rows.where((F.col("_ends") == F.col("_at.ends")) & ~bad & F.coalesce(used - size < goal, F.lit(True)))
     if on_new_first == "stop":
         rows = rows.where(F.col("fragment") == 1)
     elif on_new_first == "replace":
         rows = rows.where(F.col("fragment") == F.col("_top"))
-    fits = F.col("_used") <= max_length
+    full = F.coalesce(used >= goal, no)
+    fits = (used <= max_length) | full
     filled = F.col(part) != "" if not separator else F.col(part).isNotNull()
     piece = F.when(fits & filled, F.struct(*[F.col(c) for c in order], F.col(part).alias("_part")))
     out = rows.groupBy(*keys, "fragment").agg(
         F.count(F.lit(1)).alias("parts"),
-        F.bool_or(last).alias("complete"),
+        F.bool_or(last | full).alias("complete"),
         F.bool_and(fits).alias("_fits"),
+        F.max(goal).alias("_goal"),
         F.array_sort(F.collect_list(piece)).alias("_pieces"),
     )
     out = out.where("_fits")
     text = F.array_join(F.transform("_pieces", lambda p: p["_part"]), separator)
+    text = F.when(F.col("_goal").isNull(), text).otherwise(F.left(text, F.col("_goal").cast("int")))
     return out.select(*keys, "fragment", "parts", text.alias("text"), "complete")
 
 

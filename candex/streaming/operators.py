@@ -52,12 +52,13 @@ def _keyed(sdf: DataFrame, keys: list[str], fn, out: StructType, state: StructTy
 
 def stream_reassemble(
     sdf: DataFrame, keys: list[str], order: list[str], is_first: str, is_last: str, part: str, separator: str = "",
-    max_length: int = 1 << 20,
+    max_length: int = 1 << 20, stated: str | None = None, broken: str | None = None,
 ) -> DataFrame:
     """Fragments from a first part and its continuations, across micro-batches.
 
-    A fragment is complete at its last part, or closed by the next first one; an open one stays in the state.
-    Longer ones than ``max_length`` are dropped, and rows are passed over until the next first part.
+    A fragment is complete at its last part or at the length ``stated`` in its first row, or closed by the next
+    first one; an open one stays in the state. Longer ones than ``max_length`` are dropped, and rows are passed
+    over until the next first part, as they are from a ``broken`` row on (what came before it is kept).
     """
     key_fields = [sdf.schema[k] for k in keys]
     out = StructType(
@@ -66,35 +67,44 @@ def stream_reassemble(
     )
     state = StructType(
         [StructField("fragment", LongType()), StructField("parts", LongType()), StructField("text", StringType()),
-         StructField("open", BooleanType())]
+         StructField("goal", LongType()), StructField("open", BooleanType()), StructField("skip", BooleanType())]
     )
+    flags = [is_first, is_last, part]
 
     def push(key, batches, held: GroupState):
-        fragment, parts, text, opened = held.get if held.exists else (0, 0, "", False)
+        fragment, parts, text, goal, opened, skip = held.get if held.exists else (0, 0, "", 0, False, False)
         pieces, length, done = [text], len(text), []
-        for first, last, piece in _in_order(batches, order)[[is_first, is_last, part]].itertuples(index=False):
+        rows = _in_order(batches, order)
+        goals = rows[stated].fillna(0) if stated is not None else [0] * len(rows)
+        bad = rows[broken].fillna(False) if broken is not None else [False] * len(rows)
+        for (first, last, piece), n, wrong in zip(rows[flags].itertuples(index=False), goals, bad):
             piece = piece or ""
+            if wrong:
+                skip = True
+                continue
             if first:
                 if opened:
                     done.append((fragment, parts, "".join(pieces), False))
-                fragment, parts, pieces, length, opened = fragment + 1, 1, [piece], len(piece), True
-            elif opened:
+                fragment, parts, pieces, length, opened, skip = fragment + 1, 1, [piece], len(piece), True, False
+                goal = int(n)
+            elif opened and not skip:
                 parts += 1
                 pieces += [separator, piece]
                 length += len(separator) + len(piece)
             else:
                 continue
-            if length > max_length:
-                opened, pieces = False, []
-            elif last:
-                done.append((fragment, parts, "".join(pieces), True))
+            full = goal > 0 and length >= goal
+            if full or (last and length <= max_length):
+                text = "".join(pieces)
+                done.append((fragment, parts, text[:goal] if goal > 0 else text, True))
+            if full or last or length > max_length:
                 opened, pieces = False, []
-        held.update((int(fragment), int(parts), "".join(pieces) if opened else "", bool(opened)))
+        held.update((int(fragment), int(parts), "".join(pieces) if opened else "", int(goal), bool(opened), bool(skip)))
         if done:
-            rows = pd.DataFrame(done, columns=["fragment", "parts", "text", "complete"])
+            result = pd.DataFrame(done, columns=["fragment", "parts", "text", "complete"])
             for k, v in reversed(list(zip(keys, key))):
-                rows.insert(0, k, v)
-            yield rows
+                result.insert(0, k, v)
+            yield result
 
     return _keyed(sdf, keys, push, out, state)
 

@@ -271,6 +271,19 @@ def test_reassemble_drops_oversized(spark):
     assert _reassembled(spark, rows, "close", max_length=6, separator="-") == [(2, "x", True)]
 
 
+def test_reassemble_stated_length_and_broken_rows(spark):
+    rows = [
+        ("k", 1, True, "abc", 5, False), ("k", 2, False, "defg", None, False), ("k", 3, False, "late", None, False),
+        ("k", 4, True, "hi", 9, False), ("k", 5, False, "jk", None, True), ("k", 6, False, "lm", None, False),
+        ("k", 7, True, "no", 0, True), ("k", 8, True, "q" * 50, 2, False), ("k", 9, True, "r" * 50, 0, False),
+    ]
+    df = spark.createDataFrame(rows, "k STRING, i INT, f BOOLEAN, t STRING, n INT, bad BOOLEAN").withColumn("l", F.lit(False))
+    for group_rows in (None, 3):
+        out = A.reassemble(df, ["k"], ["i"], "f", "l", "t", max_length=20, stated="n", broken="bad", group_rows=group_rows)
+        got = [(r["fragment"], r["text"], r["complete"]) for r in out.orderBy("fragment").collect()]
+        assert got == [(1, "abcde", True), (2, "hi", False), (3, "qq", True)]
+
+
 def test_chunk_coverage(spark):
     df = spark.createDataFrame([("k", 0, 100), ("k", 90, 20), ("k", 250, 100), ("k", 10, 0), ("k", 99, 2)], "k STRING, o INT, n INT")
     # Chunks of 100: 0, 0-1, 0-1; one direct read of 100 at 250 and one of 100 at 0.

@@ -57,6 +57,19 @@ def test_reassemble_drops_oversized(parts):
     assert got.count() > 0 and same(got, want, "k", "fragment", "text")
 
 
+def test_reassemble_stated_and_broken(parts):
+    sdf, df = parts
+    add = {"goal": F.col("n") * 3, "bad": F.col("n") == 5, "never": F.lit(False)}
+    sdf, df = sdf.withColumns(add), df.withColumns(add)
+    got = drain_append(
+        T.stream_reassemble(sdf, ["k"], ["i"], "f", "never", "t", max_length=16, stated="goal", broken="bad"), "test"
+    )
+    want = A.reassemble(df, ["k"], ["i"], "f", "never", "t", max_length=16, stated="goal", broken="bad")
+    want = want.join(df.where("f").groupBy("k").count(), "k").where("complete or fragment < count")
+    assert got.where("complete").count() > 0 and got.where("not complete").count() > 0
+    assert same(got, want, "k", "fragment", "parts", "text", "complete")
+
+
 def test_counters(parts):
     sdf, df = parts
     got = drain_update(T.stream_counters(sdf, ["k"], F.col("f")), ["k"], "test")
