@@ -248,26 +248,30 @@ def reassemble(
     bad = no if broken is None else F.coalesce(F.col(broken), no)
     first = F.coalesce(F.col(is_first), no) & ~bad
     last = F.coalesce(F.col(is_last), no) & ~bad
-    wanted = F.lit(None).cast("long") if stated is None else F.when(F.col(stated) > 0, F.col(stated).cast("long"))
+    # 0 stands for no stated length.
+    goal = F.lit(0) if stated is None else F.greatest(F.coalesce(F.col(stated), F.lit(0)), F.lit(0))
     size = F.when(bad, 0).otherwise(F.length(F.coalesce(F.col(part), F.lit(""))) + len(separator)).cast("long")
     rows = ordered(df, keys, order, group_rows).scan(
         fragment=running_count(first), _ends=running_count(last | bad, inclusive=False), _len=running_sum(size)
     )
     rows = rows.where(F.col("fragment") > 0)
     # Values at the fragment's first row: ends seen and length gathered before it, length stated.
-    begin = F.struct(F.col("_ends").alias("ends"), (F.col("_len") - size).alias("len"), wanted.alias("stated"))
-    steps = {"_at": running_last(F.when(first, begin))}
+    steps = {
+        "_ends0": running_last(F.when(first, F.col("_ends"))),
+        "_len0": running_last(F.when(first, F.col("_len") - size)),
+        "_goal": running_last(F.when(first, goal.cast("long"))),
+    }
     if on_new_first == "replace":
         steps["_top"] = group_max("fragment")
     rows = rows.scan(**steps)
-    rows = rows.with_columns(_used=F.col("_len") - F.col("_at.len") - len(separator)).rows()
-    used, goal = F.col("_used"), F.col("_at.stated")
-    rows = rows.where((F.col("_ends") == F.col("_at.ends")) & ~bad & F.coalesce(used - size < goal, F.lit(True)))
+    rows = rows.with_columns(_used=F.col("_len") - F.col("_len0") - len(separator)).rows()
+    used, goal = F.col("_used"), F.col("_goal")
+    rows = rows.where((F.col("_ends") == F.col("_ends0")) & ~bad & ((goal == 0) | (used - size < goal)))
     if on_new_first == "stop":
         rows = rows.where(F.col("fragment") == 1)
     elif on_new_first == "replace":
         rows = rows.where(F.col("fragment") == F.col("_top"))
-    full = F.coalesce(used >= goal, no)
+    full = (goal > 0) & (used >= goal)
     fits = (used <= max_length) | full
     filled = F.col(part) != "" if not separator else F.col(part).isNotNull()
     piece = F.when(fits & filled, F.struct(*[F.col(c) for c in order], F.col(part).alias("_part")))
@@ -275,12 +279,12 @@ def reassemble(
         F.count(F.lit(1)).alias("parts"),
         F.bool_or(last | full).alias("complete"),
         F.bool_and(fits).alias("_fits"),
-        F.max(goal).alias("_goal"),
+        F.max(goal).alias("_cut"),
         F.array_sort(F.collect_list(piece)).alias("_pieces"),
     )
     out = out.where("_fits")
     text = F.array_join(F.transform("_pieces", lambda p: p["_part"]), separator)
-    text = F.when(F.col("_goal").isNull(), text).otherwise(F.left(text, F.col("_goal").cast("int")))
+    text = F.when(F.col("_cut") == 0, text).otherwise(F.left(text, F.col("_cut").cast("int")))
     return out.select(*keys, "fragment", "parts", text.alias("text"), "complete")
 
 
