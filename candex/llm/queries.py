@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candex.llm.exact import DigestIndex
+from candex.llm.exact import DigestIndex, digest
+from candex.llm.language import bucket, fit_languages, predict_language
 from candex.llm.minhash import near_duplicates
+from candex.llm.mixing import plan_mixture, word_count
+from candex.llm.packing import pack
 from candex.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -41,3 +44,48 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents linked by 80 % of their four-word runs."""
     return near_duplicates(load_table(spark, folder, "documents"), words=4, percent=80)
+
+
+@query("op7_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the labels."""
+    docs = load_table(spark, folder, "documents").select("doc_id", "lang", "text", (bucket("doc_id", 3) == 1).alias("held_out"))
+    model = fit_languages(docs, ~F.col("held_out"))
+    return predict_language(docs, model, ["doc_id", "held_out"])
+
+
+@query("op2_curriculum_mix", r"""
+WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS mark,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, source_size * 3 AS cap FROM s),
+w AS (SELECT *, place % 3 + 1.0::DOUBLE AS weight FROM p),
+o AS (SELECT *, sum(source_size) OVER () AS total,
+    cap * sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+      <= (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         * weight AS short FROM w),
+c AS (SELECT *, bool_and(short) OVER (ORDER BY cap / weight, place ROWS UNBOUNDED PRECEDING) AS capped FROM o),
+t AS (SELECT source, source_size, place, CASE WHEN capped THEN cap::DOUBLE ELSE
+    weight * (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT capped THEN weight END) OVER () END AS target FROM c),
+l AS (SELECT doc_id, size, source_size, target, place,
+    sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING) - size + size / 2 AS middle
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CAST((middle < target)::INT + (middle + source_size < target)::INT + (middle + source_size * 2 < target)::INT AS BIGINT) AS takes,
+    middle / target AS share, place % 3 AS kind FROM l)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * takes AS BIGINT) AS taken, takes,
+    round(CASE WHEN takes = 0 THEN NULL WHEN kind = 0 THEN coalesce(2 * share / (0.5 + sqrt(0.25 + 2 * share)), 0)
+      WHEN kind = 1 THEN share ELSE 2 * (share * 3) / (4.0 + sqrt(16.0 + 2 * -2.0 * (share * 3))) END, 9) AS first_position FROM k""")
+def curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of weights 1, 2, 3 along a curriculum takes of every document."""
+    plan = plan_mixture(load_table(spark, folder, "documents"))
+    first = F.round(F.try_element_at("positions", F.lit(1)), 9)
+    return plan.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("takes"), first.alias("first_position")
+    )
+
+
+@query("op8_conflict_packing")
+def conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in bins of 2048 words, equal texts apart, at most two of a source together."""
+    docs = load_table(spark, folder, "documents")
+    return pack(docs.select("doc_id", "source", word_count("text").alias("size"), digest("text").alias("cluster")))

@@ -3,23 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candex.llm.exact import DigestIndex, drop_copies
+from candex.llm.exact import DigestIndex, digest, drop_copies
+from candex.llm.language import bucket, fit_languages, predict_language
 from candex.llm.minhash import drop_near_duplicates
+from candex.llm.mixing import mixed, word_count
+from candex.llm.packing import pack
 from candex.plans.limits import pin
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents stay whose language is told with a probability of at least one half.
+
+    Texts without a letter and texts in none of the known languages go. Learns from two thirds of the labels.
+    """
+    model = fit_languages(docs, bucket("doc_id", 3) != 1)
+    told = predict_language(docs.withColumn("_text", F.col("text")), model, docs.columns, "_text")
+    return told.where("lang_pred <> 'und' AND score >= 0.5").select(docs.columns)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays (operator 9)."""
+    """Operator 9: of documents with one text the longest stays."""
     return drop_copies(docs, DigestIndex.open(spark))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (operator 3): five words, similarity 0.8."""
+    """Operator 3: of documents linked by 80 % of their five-word runs the first stays."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("exact", exact_copies), ("near", near_copies)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: sources mixed by weight along a curriculum; a document can come up to three times, or not at all."""
+    return mixed(docs)
+
+
+def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: bins of 2048 words, with equal texts apart and at most two documents of a source together."""
+    return pack(docs.select("doc_id", "source", word_count("text").alias("size"), digest("text").alias("cluster")))
+
+
+STAGES = [
+    ("language", languages), ("exact dedup", exact_copies), ("near dedup", near_copies), ("mixture", mixture), ("packing", bins),
+]
+
+#: Language models and MinHash cannot be put in SQL.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +57,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES:
         docs = pin(stage(spark, docs, sf_dir))
     return docs
-
-
-ORACLE_SQL = None
