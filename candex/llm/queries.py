@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from candex.llm.exact import DigestIndex, digest
 from candex.llm.language import bucket, fit_languages, predict_language
+from candex.llm.lines import drop_repeated_lines
 from candex.llm.minhash import near_duplicates
 from candex.llm.mixing import plan_mixture, word_count
 from candex.llm.packing import pack
+from candex.llm.urls import UrlRules, judge_urls
 from candex.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -89,3 +91,40 @@ def conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in bins of 2048 words, equal texts apart, at most two of a source together."""
     docs = load_table(spark, folder, "documents")
     return pack(docs.select("doc_id", "source", word_count("text").alias("size"), digest("text").alias("cluster")))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op4_url_filter", r"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+    ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+m AS (SELECT page_id, host, path, arg_max(rhost || rpath, len(rhost || rpath)) AS rule, arg_max(rverdict, len(rhost || rpath)) AS rv
+    FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM m""")
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL under four rules."""
+    rules = UrlRules.build(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    return judge_urls(load_table(spark, folder, "pages"), rules, ["page_id"])
+
+
+@query("op10_line_dedup", r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM s),
+k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM x),
+f AS (SELECT doc_id, pos, row_number() OVER w AS i, t, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2,
+    lead(pos, 1) OVER w AS pos1, lead(pos, 2) OVER w AS pos2 FROM k WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+w AS (SELECT doc_id, i, [pos, pos1, pos2] AS covers, t || chr(10) || t1 || chr(10) || t2 AS win FROM f WHERE t2 IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n, count(*) OVER (PARTITION BY win) AS copies FROM w),
+cut AS (SELECT doc_id, unnest(covers) AS pos FROM r WHERE n > 1
+    EXCEPT SELECT doc_id, unnest(covers) FROM r WHERE n = 1 AND copies > 1),
+l AS (SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.pos) FILTER (cut.pos IS NULL) AS bare, count(cut.pos) AS n_removed
+    FROM x LEFT JOIN cut ON x.doc_id = cut.doc_id AND x.pos = cut.pos GROUP BY x.doc_id)
+SELECT s.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+    CASE WHEN text IS NOT NULL THEN coalesce(bare, '') END AS text FROM s LEFT JOIN l ON s.doc_id = l.doc_id""")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the later occurrences of repeated three-line windows."""
+    return drop_repeated_lines(load_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
