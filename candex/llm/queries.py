@@ -10,8 +10,10 @@ from candex.llm.language import bucket, fit_languages, predict_language
 from candex.llm.lines import drop_repeated_lines
 from candex.llm.minhash import near_duplicates
 from candex.llm.mixing import plan_mixture, word_count
+from candex.llm.ngrams import fit_bigrams, held_out, score_texts
 from candex.llm.packing import pack
 from candex.llm.urls import UrlRules, judge_urls
+from candex.llm.vectors import near_vectors
 from candex.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -128,3 +130,25 @@ SELECT s.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(n_rem
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the later occurrences of repeated three-line windows."""
     return drop_repeated_lines(load_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op6_kneser_ney")
+def kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by the bigrams of nine tenths of them."""
+    docs = load_table(spark, folder, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    return score_texts(docs, fit_bigrams(docs.where(~F.col("held_out"))), ["doc_id", "held_out"])
+
+
+@query("op5_nn_descent", """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""")
+def nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors linked with those of their label at a cosine of 0.98."""
+    return near_vectors(load_table(spark, folder, "embeddings"))
