@@ -12,6 +12,7 @@ from candex.llm.minhash import near_duplicates
 from candex.llm.mixing import plan_mixture, word_count
 from candex.llm.ngrams import fit_bigrams, held_out, score_texts
 from candex.llm.packing import pack
+from candex.llm.tokens import read_tokens, write_tokens
 from candex.llm.urls import UrlRules, judge_urls
 from candex.llm.vectors import near_vectors
 from candex.sources.tables import load_table
@@ -152,3 +153,10 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 def nn_descent(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors linked with those of their label at a cosine of 0.98."""
     return near_vectors(load_table(spark, folder, "embeddings"))
+
+
+@query("op1_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token ids, written to files and read back."""
+    files = write_tokens(load_table(spark, folder, "documents"))
+    return read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
