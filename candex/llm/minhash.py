@@ -6,18 +6,20 @@ Two sets of similarity 0.8 differ in more than 15 slots with a probability of ab
 
 Documents with the same set are one node from the start, so copies cost nothing. Pairs within a key's bucket are never
 written out: every member is compared with the bucket's hub, the one that shares most keys with others. Members that
-the hub's component does not take in are compared with the other components of the bucket, after an exact bound has
-removed those that cannot be similar to anything: a set of which more than a fifth occurs in no other set of the open
-buckets. Every link is confirmed on the whole sets.
+the hub's component does not take in are compared, in blocks, with all that share that hub, after an exact bound has
+removed those that cannot be similar to anything: a set of which more than a fifth occurs in no other set there. Every
+link is confirmed on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ SLOTS, PER_CHUNK = 32, 4
 CHUNKS = SLOTS // PER_CHUNK
 DISTANCE = 2 * CHUNKS - 1
 _STEP = 1 << 13
+BLOCK = 512
 
 
 def shingle_set(words: np.ndarray, k: int, weights: np.ndarray) -> np.ndarray:
@@ -95,15 +98,25 @@ def _keys(sig: str) -> Column:
     return F.array(*keys)
 
 
-def slot_distance(a: str, b: str) -> Column:
-    """In how many slots two signatures differ."""
-    total = []
-    for chunk in range(CHUNKS):
-        x = F.col(a)[chunk].bitwiseXOR(F.col(b)[chunk])
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total.append(F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
-    return reduce(Column.__add__, total)
+def _across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the strays and the members of each pair of blocks, one for each component a stray is linked with."""
+    found = []
+    for _, block in rows.groupby(["hub", "i", "j"], sort=False):
+        strays, members = block[block["stray"]], block[~block["stray"]]
+        if not len(strays) or not len(members):
+            continue
+        sets = members["shingles"].to_list()
+        flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+        starts = np.cumsum(sizes) - sizes
+        ids, comps = members["rep"].to_numpy(), members["comp"].to_numpy()
+        for rep, comp, own in zip(strays["rep"], strays["comp"], strays["shingles"], strict=True):
+            own = np.sort(own)  # the hashes ascend as unsigned numbers
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), starts)
+            linked = (100 * both >= percent * (sizes + len(own) - both)) & (comps != comp)
+            _, first = np.unique(comps[linked], return_index=True)
+            found += [(rep, other) for other in ids[linked][first]]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -114,6 +127,52 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def _component_of(rows: DataFrame, named: DataFrame, node: str, name: str) -> DataFrame:
+    found = named.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(found, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _joined(named: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after further links between their members."""
+    ends = _component_of(_component_of(more, named, "a", "ca"), named, "b", "cb").select("ca", "cb")
+    top = pin(components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top")))
+    new = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(named, "node", "left_anti")
+    known = named.union(new.withColumn("component", F.col("node")))
+    return pin(known.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
+def _missed_links(spokes: DataFrame, sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a hub's buckets that the hub's component does not join.
+
+    Strays, which are outside that component, are compared on whole sets with everything in the buckets of the same hub
+    that could be similar to anything, in blocks.
+    """
+    family = spokes.select("hub", "rep").distinct()
+    family = pin(_component_of(_component_of(family, named, "rep", "comp"), named, "hub", "hub_comp"))
+    open_hubs = family.where("comp <> hub_comp").select("hub").distinct()
+    family = pin(family.join(open_hubs, "hub", "left_semi").withColumn("stray", F.col("comp") != F.col("hub_comp")))
+    open_sets = sets.join(family.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own = (
+        open_sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    )
+    lost = sets.join(own, "doc_id").where(100 * F.col("own") > (100 - percent) * F.size("shingles")).select(F.col("doc_id").alias("rep"))
+    family = pin(family.join(lost, "rep", "left_anti").select("hub", "rep", "comp", "stray"))
+    sizes = pin(family.groupBy("hub").agg(F.count_if("stray").alias("strays"), F.count(F.lit(1)).alias("members")).where("strays > 0"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    held = family.join(sizes, "hub").withColumns({"si": blocks("strays"), "mj": blocks("members")})
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = held.where("stray").select("hub", "rep", "comp", "stray", mine("si").alias("i"), every("mj").alias("j"))
+    right = held.select("hub", "rep", "comp", F.lit(False).alias("stray"), every("si").alias("i"), mine("mj").alias("j"))
+    rows = pin(left.unionByName(right))
+    tasks = max(1, math.ceil(rows.count() / BLOCK))
+    task = F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks)).alias("task")
+    filled = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("task", task)
+    return filled.groupBy("task").applyInPandas(lambda f: _across(f, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Links documents whose sets of word runs have a Jaccard similarity of at least ``percent`` %.
 
@@ -145,39 +204,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = pin(_confirmed(pairs, sets, percent))
     named = components(links)
 
-    # Members of a bucket outside the component of its hub, and what else the bucket holds.
-    def component_of(rows: DataFrame, node: str, name: str) -> DataFrame:
-        found = named.select(F.col("node").alias(node), F.col("component").alias(name))
-        return rows.join(found, node, "left").withColumn(name, F.coalesce(name, node))
-
-    held = pin(component_of(component_of(spokes, "rep", "comp"), "hub", "hub_comp"))
-    open_keys = pin(held.where("comp <> hub_comp").groupBy("key").agg(F.count(F.lit(1)).alias("strays")))
-    held = pin(held.join(open_keys, "key").select("key", "rep", "comp", "hub_comp"))
-    open_sets = sets.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    alone = (
-        open_sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n = 1")
-        .groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    )
-    able = pin(
-        reps.join(held.select("rep").distinct(), "rep", "left_semi").join(alone, "rep", "left")
-        .where(100 * F.coalesce("own", F.lit(0)) <= (100 - percent) * F.col("n_shingles"))
-        .select("rep", "n_shingles", "sig")
-    )
-    held = pin(held.join(able, "rep"))
-    left = held.where("comp <> hub_comp").select("key", F.col("rep").alias("l"), F.col("comp").alias("lc"), F.col("sig").alias("ls"), F.col("n_shingles").alias("ln"))
-    right = held.select("key", F.col("rep").alias("r"), F.col("comp").alias("rc"), F.col("sig").alias("rs"), F.col("n_shingles").alias("rn"))
-    similar_size = 100 * F.least("ln", "rn") >= percent * F.greatest("ln", "rn")
-    rest = left.join(right, "key").where((F.col("lc") != F.col("rc")) & similar_size & (slot_distance("ls", "rs") <= DISTANCE))
-    rest = pin(rest.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct())
-    more = pin(_confirmed(rest, sets, percent))
-    joined = components(component_of(component_of(more, "a", "ca"), "b", "cb").select("ca", "cb"), "ca", "cb")
-    top = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
-    final = pin(
-        links.select(F.col("a").alias("node")).union(links.select("b")).union(more.select("a")).union(more.select("b")).distinct()
-        .join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        .join(top, "component", "left").select(F.col("node").alias("rep"), F.coalesce("top", "component").alias("top"))
-    )
+    more = pin(_missed_links(spokes, sets, named, percent))
+    if not more.isEmpty():
+        named = _joined(named, more)
+    final = named.select(F.col("node").alias("rep"), F.col("component").alias("top"))
     component = F.coalesce("top", "rep", "doc_id")
     return placed.join(final, "rep", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
