@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candex.llm.frames import unused
 from candex.plans.limits import pin, scratch_path
 
 SPACES = "\t\n\x0b\x0c\r "
@@ -82,5 +83,6 @@ class DigestIndex:
 
 def drop_copies(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the index keeps, with all their columns; rows are told apart by ``doc_id``."""
-    gone = index.admit(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = index.admit(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candex.llm.frames import unused
 from candex.plans.limits import pin
 
 BLANKS = " \t\x0b\x0c\r"
@@ -51,16 +52,17 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     without repeats are unchanged; a null text has 0 lines. Rows with one id and one text are cut alike. Other
     columns pass, but for columns named ``n_lines`` and ``n_removed``, which are replaced.
     """
-    cuts = repeated_windows(docs, doc_id, text, lines).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("cut").alias("_cut"))
-    rows = docs.drop("n_lines", "n_removed").withColumn("_text_mark", F.xxhash64(text))
-    rows = rows.join(cuts, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")), "left")
+    own, mark, cut = unused(docs, "own", "mark", "cut")
+    cuts = repeated_windows(docs, doc_id, text, lines).select(F.col("doc_id").alias(own), F.col("mark").alias(mark), F.col("cut").alias(cut))
+    rows = docs.drop("n_lines", "n_removed")
+    rows = rows.join(cuts, F.col(doc_id).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(mark)), "left")
     parts = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_cut"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
     bare = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     return rows.withColumns(
         {
             "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"),
-            "n_removed": F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long"),
-            text: F.when(F.col("_cut").isNull(), F.col(text)).otherwise(bare),
+            "n_removed": F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("long"),
+            text: F.when(F.col(cut).isNull(), F.col(text)).otherwise(bare),
         }
-    ).drop("_id", "_mark", "_cut", "_text_mark")
+    ).drop(own, mark, cut)

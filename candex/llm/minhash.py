@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candex.llm.components import components
+from candex.llm.frames import unused
 from candex.llm.words import mix, odd_constants, text_chunks, word_hashes
 from candex.plans.limits import pin
 
@@ -217,5 +218,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with all their columns."""
     found = near_duplicates(docs, doc_id, text, words, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candex.llm.frames import unused
 from candex.plans.limits import pin
 
 #: Schedules with the integrals 1, 2 and 3: one grows, one is even, one fades.
@@ -130,8 +131,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     Rows that share an id get the takes of the one that is laid out first.
     """
     plan = plan_mixture(docs, doc_id, source, text, schedules, max_repeats)
-    takes = plan.groupBy("doc_id").agg(F.min("positions").alias("_takes")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(takes, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_at", F.explode("_takes")).drop("_id", "_takes")
+    own, positions, at = unused(docs, "own", "positions", "at")
+    takes = plan.select(F.col("doc_id").alias(own), F.col("positions").alias(positions)).groupBy(own).agg(F.min(positions).alias(positions))
+    rows = docs.join(takes, F.col(doc_id).cast("long").eqNullSafe(F.col(own)))
+    rows = rows.withColumn(at, F.explode(positions)).drop(own, positions)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(partitions, "_at", doc_id).sortWithinPartitions("_at", doc_id).drop("_at")
+    return rows.repartitionByRange(partitions, at, doc_id).sortWithinPartitions(at, doc_id).drop(at)

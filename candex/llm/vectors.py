@@ -69,6 +69,10 @@ def _nearest(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"v": np.repeat(ids, near), "u": ids[best.ravel()], "sim": np.take_along_axis(sims, best, 1).ravel()})
 
 
+def _nearest_of(k: int):
+    return lambda rows: _nearest(rows, k)
+
+
 def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares the neighbours of each vector; gives what is nearer than the last entry of a neighbour's list."""
     for batch in batches:
@@ -186,7 +190,7 @@ def near_vectors(
         # A cell with more vectors is dealt out by hash; the rounds bring its parts together.
         salt = F.pmod(F.xxhash64("vec_id", "tree"), F.ceil(F.col("n") / CELL)).cast("int")
         placed = cells.join(sizes, keys).select(*keys, salt.alias("salt"), "vec_id").join(base.select("vec_id", "vec"), "vec_id")
-        first = placed.groupBy(*keys, "salt").applyInPandas(partial(_nearest, k=k), _EDGES)
+        first = placed.groupBy(*keys, "salt").applyInPandas(_nearest_of(k), _EDGES)
         merged = first if graph is None else first.unionByName(graph)
         graph = pin(_nearest_k(merged.groupBy("v", "u").agg(F.max("sim").alias("sim")), "v", k))
         for _ in range(rounds):

@@ -19,8 +19,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without a letter and texts in none of the known languages go. Learns from two thirds of the labels.
     """
     model = fit_languages(docs, bucket("doc_id", 3) != 1)
-    told = predict_language(docs.withColumn("_text", F.col("text")), model, docs.columns, "_text")
-    return told.where("lang_pred <> 'und' AND score >= 0.5").select(docs.columns)
+    # The whole row as one column: its names cannot clash with those that are added.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    told = predict_language(rows, model, ["row"])
+    return told.where("lang_pred <> 'und' AND score >= 0.5").select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
