@@ -17,7 +17,7 @@ from candex.operators.filters import (
 )
 from candex.plans import limits
 from candex.plans.ordered import first_rows
-from candex.sources.tables import access_report, inventory_files, union_views, write_selection
+from candex.sources.tables import access_report, union_views, write_selection
 
 
 @query(
@@ -33,11 +33,6 @@ def load_and_filter(spark, d):
     )
 
 
-@query("s2_inventory_files")
-def list_files(spark, d):
-    return inventory_files(spark, d, ["PARQUET"]).select("name", "length")
-
-
 @query(
     "s3_write_selection",
     """SELECT p_partkey, p_type FROM (

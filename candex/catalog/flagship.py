@@ -4,24 +4,22 @@ from pyspark.sql import functions as F
 
 from candex.catalog.registry import query, table
 from candex.operators.filters import quarantine, size_gate
-from candex.operators.windows import cap_then_rank, first_acceptable_else_best
+from candex.operators.windows import first_acceptable_else_best, rank_candidates
 from candex.sources.tables import access_report
 
 @query(
     "q1_best_documents",
     """WITH g AS (SELECT source, doc_id, lang, n_chars FROM documents WHERE coalesce(n_chars, 0) BETWEEN 1 AND 20000
                   AND lang IN ('en', 'fr', 'de') AND length(text) > 0),
-       c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r1 FROM g),
-       k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank_no FROM c
-             WHERE r1 <= 64),
-       t AS (SELECT *, n_chars BETWEEN 1000 AND 2000 AS ok FROM k WHERE rank_no <= 16),
+       k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank_no FROM g),
+       t AS (SELECT *, n_chars BETWEEN 1000 AND 2000 AS ok FROM k),
        b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ok DESC, CASE WHEN ok THEN rank_no END NULLS FIRST,
              n_chars DESC, rank_no) AS rn FROM t),
        a AS (SELECT source, count(*) AS reads, CAST(sum(n_chars) AS BIGINT) AS bytes FROM t GROUP BY source)
        SELECT source, doc_id, n_chars, rank_no, reads, bytes FROM b JOIN a USING (source) WHERE rn = 1""",
 )
 def best_documents(spark, d):
-    """Size gate, quarantine, cap and rank, first acceptable else best, access report."""
+    """Size gate, quarantine, rank of all candidates, first acceptable else best, access report."""
     docs = table(spark, d, "documents").select(
         "source", "doc_id", "lang", "n_chars", F.length("text").alias("n_text")
     )
@@ -30,7 +28,7 @@ def best_documents(spark, d):
         ("unsupported", "language", ~F.col("lang").isin("en", "fr", "de")),
     ]
     good, _ = quarantine(size_gate(docs, "n_chars", 20_000), rules)
-    tried = cap_then_rank(good, ["source"], ["doc_id"], 64, ["-n_chars"], 16)
+    tried = rank_candidates(good, ["source"], ["-n_chars"], ["doc_id"])
     ok = F.col("n_chars").between(1000, 2000)
     best = first_acceptable_else_best(tried, ["source"], ["rank_no"], ok, "n_chars")
     report = access_report(tried, ["source"], "n_chars")

@@ -38,6 +38,18 @@ STRUCTURE_VERSIONS = ["0100", "0200", "0240", "0300"]
 U64_MAX = (1 << 64) - 1
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def fold(name) -> Column:
+    """A name in lower case; only A-Z have one."""
+    return F.translate(_c(name), _UPPER, _LOWER)
+
+
+def _folded(text: str) -> str:
+    return text.translate(str.maketrans(_UPPER, _LOWER))
+
+
 def split_ext(name) -> Column:
     """``struct(stem, ext)`` at the last dot; without a dot the extension is empty."""
     name = _c(name)
@@ -50,12 +62,12 @@ def split_ext(name) -> Column:
 
 def has_ext(name, exts) -> Column:
     """Whether the extension is one of ``exts``, whatever the case."""
-    return F.lower(split_ext(name)["ext"]).isin([e.lower() for e in exts])
+    return fold(split_ext(name)["ext"]).isin([_folded(e) for e in exts])
 
 
 def stem_in(name, names) -> Column:
     """Whether the part before the last dot is one of ``names``, whatever the case."""
-    return F.lower(split_ext(name)["stem"]).isin([n.lower() for n in names])
+    return fold(split_ext(name)["stem"]).isin([_folded(n) for n in names])
 
 
 def dims_from_name(name) -> Column:
@@ -111,7 +123,7 @@ def classify_name(name, rules=DISC_NAME_RULES) -> Column:
 def size_rank(name, pattern: str = r"(?is)^J.*(.)\.MP2$", sizes=JACKET_SIZES) -> Column:
     """Rank of the size letter in a name, ``len(sizes)`` for other letters, null for other names."""
     name = _c(name)
-    letter = F.upper(F.regexp_extract(name, pattern, 1))
+    letter = F.translate(F.regexp_extract(name, pattern, 1), _LOWER, _UPPER)
     rank = reduce(
         lambda w, pair: w.when(letter == pair[1], pair[0]),
         list(enumerate(sizes))[1:],

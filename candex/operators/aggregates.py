@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candex.functions.names import fold
 from candex.functions.numbers import _c, div_half_up, int_div
 from candex.plans.ordered import first_rows, group_max, ordered, running_count, running_last, running_sum
 
 WIDE = "decimal(38,0)"
 
 
-def group_parts(df: DataFrame, keys: list[str], part: str, size: str, order, parts=(0, 9)) -> DataFrame:
+def group_parts(df: DataFrame, keys: list[str], part: str, size: str, order, parts: tuple[int, int] | None = None) -> DataFrame:
     """One row per set: size of part 0 (the menu), the other parts with a size, in order, and their total.
 
-    The first row of each (set, part) counts. Part numbers outside ``parts`` are not parts; the bound also
-    keeps the array small whatever the size of the set.
+    The first row of each (set, part) counts; rows without a part number are not parts, nor are those outside
+    ``parts`` where it is given. The array of a set has as many entries as the set has parts.
     """
-    known = df.where(F.col(part).between(*parts))
+    known = df.where(F.col(part).isNotNull() if parts is None else F.col(part).between(*parts))
     once = first_rows(known, [*keys, part], order)
     title = (F.col(part) != 0) & (F.col(size) > 0)
     return once.groupBy(*keys).agg(
@@ -40,23 +41,28 @@ def top_groups(
     return first_rows(sums, list(within), ["-total", *keys], k)
 
 
-# Bits of one digit of a sum. Digits are summed as plain longs and put together afterwards: exact for squares
-# below 2^63 and up to 2^42 rows, without a wide decimal per row.
+# Bits of one digit of a sum. Digits are summed as plain longs and put together afterwards: exact for all longs and
+# up to 2^42 rows, without a wide decimal per row.
 DIGIT = 21
+# A value is high * 2^32 + low with both within 2^31, so that their products are longs.
+HALF = 32
+SQUARES = tuple(f"{p}{i}" for p in ("hh", "hl", "ll") for i in range(3))
 
 
 def _digit_sums(v: Column) -> list[Column]:
     """Counts and sums of ``v`` and of its squares, by digits."""
-    low = F.lit((1 << DIGIT) - 1).cast("long")
-    sq = v * v
-    return [
-        F.count(v).alias("n"),
-        F.sum(v.bitwiseAND(low)).alias("s0"),
-        F.sum(F.shiftright(v, DIGIT)).alias("s1"),
-        F.sum(sq.bitwiseAND(low)).alias("q0"),
-        F.sum(F.shiftright(sq, DIGIT).bitwiseAND(low)).alias("q1"),
-        F.sum(F.shiftright(sq, 2 * DIGIT)).alias("q2"),
-    ]
+    mask = F.lit((1 << DIGIT) - 1).cast("long")
+    # Sign-extended low half; the high half makes up for it.
+    low = F.shiftright(F.shiftleft(v, HALF), HALF)
+    high = F.shiftright(v, HALF) + F.when(low < 0, 1).otherwise(0)
+    sums = [F.count(v).alias("n"), F.sum(v.bitwiseAND(mask)).alias("s0"), F.sum(F.shiftright(v, DIGIT)).alias("s1")]
+    for name, product in (("hh", high * high), ("hl", high * low), ("ll", low * low)):
+        sums += [
+            F.sum(product.bitwiseAND(mask)).alias(f"{name}0"),
+            F.sum(F.shiftright(product, DIGIT).bitwiseAND(mask)).alias(f"{name}1"),
+            F.sum(F.shiftright(product, 2 * DIGIT)).alias(f"{name}2"),
+        ]
+    return sums
 
 
 def _joined(parts: list[Column]) -> Column:
@@ -70,9 +76,17 @@ def _joined(parts: list[Column]) -> Column:
 
 
 def _moments(n: Column, s: list[Column], q: list[Column]) -> dict:
-    """Count, exact sums, mean and population standard deviation."""
-    total, squares = _joined(s), _joined(q)
-    spread = (n.cast(WIDE) * squares - total * total).cast("double")
+    """Count, exact sums, mean and population standard deviation.
+
+    The deviation comes from exact integers as long as they have at most 38 digits, else from doubles.
+    """
+    total = _joined(s)
+    hh, hl, ll = (_joined(q[i : i + 3]) for i in (0, 3, 6))
+    wide = lambda x, bits: x * F.lit(1 << bits).cast("decimal(20,0)")
+    squares = (wide(wide(hh, 32).cast(WIDE), 32) + wide(hl, HALF + 1) + ll).cast(WIDE)
+    exact = F.try_subtract(F.try_multiply(n.cast(WIDE), squares), F.try_multiply(total, total))
+    rough = n.cast("double") * squares.cast("double") - total.cast("double") * total.cast("double")
+    spread = F.greatest(F.coalesce(exact.cast("double"), rough), F.lit(0.0))
     count = n.cast("double")
     return {
         "n": n,
@@ -87,11 +101,11 @@ def moments(df: DataFrame, keys: list[str], v) -> DataFrame:
     """Exact count, sum and sum of squares of integers, with mean and population standard deviation."""
     sums = df.groupBy(*keys).agg(*_digit_sums(_c(v).cast("long")))
     c = F.col
-    values = _moments(c("n"), [c("s0"), c("s1")], [c("q0"), c("q1"), c("q2")])
+    values = _moments(c("n"), [c("s0"), c("s1")], [c(x) for x in SQUARES])
     return sums.select(*keys, *[e.alias(name) for name, e in values.items()])
 
 
-DIGITS = ("n", "s0", "s1", "q0", "q1", "q2")
+DIGITS = ("n", "s0", "s1", *SQUARES)
 
 
 def _class_moments(keep) -> dict:
@@ -102,8 +116,8 @@ def _class_moments(keep) -> dict:
         zero = F.lit(0).cast("long")
         return F.aggregate(chosen, zero, lambda a, c: a + F.coalesce(c[field], zero))
 
-    n, s0, s1, q0, q1, q2 = (add(f) for f in DIGITS)
-    return _moments(n, [s0, s1], [q0, q1, q2])
+    n, s0, s1, *squares = (add(f) for f in DIGITS)
+    return _moments(n, [s0, s1], squares)
 
 
 def grid_moments(df: DataFrame, keys: list[str], row: str, col: str, v, limits=(16_384, 262_144)) -> DataFrame:
@@ -217,7 +231,7 @@ def latest_version(df: DataFrame, keys: list[str], seq: str, order: list[str]) -
 def dedup_first(df: DataFrame, keys: list[str], order, fold_case: bool = False) -> DataFrame:
     """First occurrence per key, optionally whatever the case of its strings."""
     strings = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
-    by = [F.lower(F.col(k)) if fold_case and k in strings else F.col(k) for k in keys]
+    by = [fold(k) if fold_case and k in strings else F.col(k) for k in keys]
     return first_rows(df, by, order)
 
 
@@ -230,7 +244,7 @@ def reassemble(
     part: str,
     on_new_first: str = "close",
     separator: str = "",
-    max_length: int = 1 << 20,
+    max_length: int | None = None,
     stated: str | None = None,
     broken: str | None = None,
     group_rows: int | None = None,
@@ -241,8 +255,8 @@ def reassemble(
     there). Continuations without a first, or after completion, are dropped; so is everything from a ``broken``
     row to the next first. A new first closes the fragment before it (``close``, packets: every fragment is
     kept), replaces it (``replace``, objects: the last fragment of the key stays) or stops the set (``stop``,
-    compositions: the first one stays). Fragments longer than ``max_length`` are dropped, as no packet can be
-    that long; only rows within the bound are ever gathered. Output: ``keys, fragment, parts, text, complete``.
+    compositions: the first one stays). With ``max_length``, a longer fragment has neither ``parts`` nor ``text``
+    and is not complete; its parts are not gathered. Output: ``keys, fragment, parts, text, complete``.
     """
     no = F.lit(False)
     bad = no if broken is None else F.coalesce(F.col(broken), no)
@@ -272,7 +286,7 @@ def reassemble(
     elif on_new_first == "replace":
         rows = rows.where(F.col("fragment") == F.col("_top"))
     full = (goal > 0) & (used >= goal)
-    fits = (used <= max_length) | full
+    fits = F.lit(True) if max_length is None else (used <= max_length) | full
     filled = F.col(part) != "" if not separator else F.col(part).isNotNull()
     piece = F.when(fits & filled, F.struct(*[F.col(c) for c in order], F.col(part).alias("_part")))
     out = rows.groupBy(*keys, "fragment").agg(
@@ -282,10 +296,12 @@ def reassemble(
         F.max(goal).alias("_cut"),
         F.array_sort(F.collect_list(piece)).alias("_pieces"),
     )
-    out = out.where("_fits")
     text = F.array_join(F.transform("_pieces", lambda p: p["_part"]), separator)
     text = F.when(F.col("_cut") == 0, text).otherwise(F.left(text, F.col("_cut").cast("int")))
-    return out.select(*keys, "fragment", "parts", text.alias("text"), "complete")
+    fit = F.col("_fits")
+    return out.select(
+        *keys, "fragment", F.when(fit, F.col("parts")).alias("parts"), F.when(fit, text).alias("text"), (fit & F.col("complete")).alias("complete")
+    )
 
 
 def chunk_coverage(

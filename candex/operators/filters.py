@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candex.functions.names import byte_sum
+from candex.functions.names import byte_sum, fold
 from candex.functions.numbers import _c
 from candex.plans.ordered import first_rows
 
 
 def first_by_name(df: DataFrame, parent, name: str, value: str, order, kind: Column | None = None) -> DataFrame:
     """First entry per parent whose name is ``value``, whatever the case, and which is of the wanted kind."""
-    hits = df.where(F.lower(F.col(name)) == value.lower())
+    hits = df.where(fold(name) == fold(F.lit(value)))
     if kind is not None:
         hits = hits.where(kind)
     return first_rows(hits, parent, order)

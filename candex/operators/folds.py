@@ -12,9 +12,6 @@ from candex.functions.numbers import _c, int_div
 from candex.plans import limits
 from candex.plans.ordered import first_rows, ordered, position, running_sum, same_keys
 
-# Fixed value: most layers drawn for one picture.
-MAX_LAYERS = 256
-
 
 def _greedy_fold(df: DataFrame, keys: list[str], order: list[str], cost: str) -> DataFrame:
     """Greedy choice inside arrays; ``_left`` and ``_quota`` are the group's budget and count."""
@@ -104,19 +101,51 @@ def over(under: Column, top: Column, channels: list[str], alpha: str) -> Column:
 
 
 def layer_fold(
-    df: DataFrame, keys: list[str], order: list[str], channels: list[str], alpha: str, max_layers: int = MAX_LAYERS
+    df: DataFrame, keys: list[str], order: list[str], channels: list[str], alpha: str, max_layers: int | None = None,
+    fold_rows: int | None = None, group_rows: int | None = None,
 ) -> DataFrame:
-    """Ordered alpha compositing per group, from a transparent start; the first ``max_layers`` layers count.
+    """Ordered alpha compositing per group, from a transparent start; ``layers`` counts all layers of a group.
 
-    The cap is part of the operator (it bounds what a picture draws) and is applied before the shuffle.
+    With ``max_layers`` only the first layers of a group are drawn and counted. An opaque layer hides all before it, so
+    only what follows a group's last one is gathered. Longer stacks are folded ``fold_rows`` layers at a time, each
+    step going on from the value of the one before.
     """
-    drawn = first_rows(df, keys, order, max_layers)
+    drawn = df if max_layers is None else first_rows(df, keys, order, max_layers)
+    fold_rows = fold_rows or limits.limit(df.sparkSession, "foldRows")
     value = F.struct(*[F.col(c).cast("long").alias(c) for c in [*channels, alpha]])
-    stack = F.array_sort(F.collect_list(F.struct(*order, value.alias("_v"))))
-    groups = drawn.groupBy(*keys).agg(stack.alias("_stack"), F.count(F.lit(1)).alias("layers"))
+    rows = ordered(drawn, keys, order, group_rows).scan(_at=position()).rows().select(*keys, "_at", value.alias("_v"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    match = same_keys([F.col(k) for k in keys], [F.col(n) for n in names])
+    opaque = F.max(F.when(F.col(f"_v.{alpha}") == 255, F.col("_at")))
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("layers"), F.coalesce(opaque, F.lit(1)).alias("_from"))
+    groups = limits.pin(groups.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "layers", "_from"))
+    seen = rows.join(groups, match).where(F.col("_at") >= F.col("_from"))
+    seen = seen.select(*keys, "layers", (F.col("_at") - F.col("_from")).alias("_at"), "_v")
+    steps = groups.agg(F.max(int_div(F.col("layers") - F.col("_from"), fold_rows))).first()[0] or 0
+    if steps:
+        seen = limits.pin(seen)
     clear = F.struct(*[F.lit(0).cast("long").alias(c) for c in [*channels, alpha]])
-    flat = F.aggregate("_stack", clear, lambda acc, x: over(acc, x["_v"], channels, alpha))
-    return groups.select(*keys, "layers", flat.alias("_f")).select(*keys, "layers", "_f.*")
+    out = None
+    for step in range(steps + 1):
+        part = seen.where(int_div(F.col("_at"), fold_rows) == step)
+        stack = F.array_sort(F.collect_list(F.struct("_at", "_v")))
+        part = part.groupBy(*keys).agg(stack.alias("_stack"), F.max("layers").alias("layers"))
+        start = clear
+        if out is not None:
+            before = out.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_f").alias("_start"))
+            part = part.join(before, match)
+            start = F.col("_start")
+        flat = F.aggregate("_stack", start, lambda acc, x: over(acc, x["_v"], channels, alpha))
+        folded = part.select(*keys, "layers", flat.alias("_f"))
+        if out is None:
+            out = folded
+        else:
+            folded = limits.pin(folded)
+            done = folded.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+            out = out.join(done, match, "left_anti").unionByName(folded)
+        if step < steps:
+            out = limits.pin(out)
+    return out.select(*keys, "layers", "_f.*")
 
 
 def blend(under, top, a) -> Column:

@@ -11,34 +11,41 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candex.functions.names import fold
 from candex.plans import limits
-from candex.plans.ordered import first_rows
-
-# Fixed value: most links looked at in one node.
-MAX_LINKS = 128
+from candex.plans.ordered import first_rows, ordered, position, same_keys
 
 
 def resolve_paths(
-    entries: DataFrame, by: list[str], entry: str, parent: str, name: str, max_depth: int = 64, separator: str = "/"
+    entries: DataFrame, by: list[str], entry: str, parent: str, name: str, max_depth: int | None = None, separator: str = "/"
 ) -> DataFrame:
-    """Full path and depth of every entry reachable from the roots (null parent), folder by folder."""
-    root = entries.where(F.col(parent).isNull())
-    level = root.select(*by, entry, F.col(name).alias("path"), F.lit(1).alias("depth"))
-    children = entries.where(F.col(parent).isNotNull()).select(*by, F.col(entry).alias("_child"), parent, name)
-    done = [limits.pin(level)]
-    for depth in range(2, max_depth + 1):
-        above = done[-1].withColumnRenamed(entry, parent)
-        level = children.join(above, [*by, parent]).select(
-            *by,
-            F.col("_child").alias(entry),
-            F.concat("path", F.lit(separator), name).alias("path"),
-            F.lit(depth).alias("depth"),
+    """Full path and depth of every entry reachable from the roots (null parent), at any depth.
+
+    Pointers are doubled: every round puts the path of the entry a path leads up to in front of it, so entries of depth
+    d are ready after log2(d) rounds. Entries that no root leads to, also those in a cycle, are left out. With
+    ``max_depth``, deeper entries are a ValueError.
+    """
+    path = F.col(name).cast("string")
+    table = entries.select(*by, entry, F.col(parent).alias("_up"), path.alias("path"), F.lit(1).alias("depth"))
+    table = limits.pin(table)
+    ready = table.where(F.col("_up").isNull()).count()
+    while True:
+        above = table.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], F.col(entry).alias("_above"),
+                             F.col("_up").alias("_next"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        match = same_keys([F.col(k) for k in by], [F.col(f"_b{i}") for i in range(len(by))]) & (F.col("_up") == F.col("_above"))
+        moved = table.where(F.col("_up").isNotNull()).join(above, match).select(
+            *by, entry, F.col("_next").alias("_up"), F.concat("_path", F.lit(separator), "path").alias("path"),
+            (F.col("depth") + F.col("_depth")).alias("depth"),
         )
-        level = limits.pin(level)
-        if level.isEmpty():
+        table = limits.pin(table.where(F.col("_up").isNull()).unionByName(moved))
+        now = table.where(F.col("_up").isNull()).count()
+        if now == ready:
             break
-        done.append(level)
-    return reduce(DataFrame.unionByName, done)
+        ready = now
+    out = table.where(F.col("_up").isNull()).drop("_up")
+    if max_depth is not None and not out.where(F.col("depth") > max_depth).isEmpty():
+        raise ValueError(f"there are entries deeper than {max_depth}")
+    return out
 
 
 def lookup_path(
@@ -48,7 +55,7 @@ def lookup_path(
     at = entries.where(F.col(parent).isNull()).select(*by, F.col(entry).alias("_at"))
     parts = path.split("/")
     for i, part in enumerate(parts):
-        named = entries.where(F.lower(F.col(name)) == part.lower())
+        named = entries.where(fold(name) == fold(F.lit(part)))
         if i + 1 < len(parts):
             named = named.where(F.col(is_dir))
         hits = named.withColumnRenamed(parent, "_at").join(at, [*by, "_at"])
@@ -59,11 +66,11 @@ def lookup_path(
 
 def follow_links(
     nodes: DataFrame, links: DataFrame, node: str, terminal: str, ordinal: str, target: str, max_depth: int = 4,
-    max_links: int = MAX_LINKS,
+    max_links: int | None = None,
 ) -> DataFrame:
     """The terminal each node leads to: its own, or the first one found by trying its links in listed order, at
-    most ``max_depth`` links deep; a path never meets a node twice. The first ``max_links`` links of a node are
-    listed, later ones are not part of it. Columns ``node, found, hops``.
+    most ``max_depth`` links deep; a path never meets a node twice. With ``max_links`` only the first links of a node
+    are its links. Columns ``node, found, hops``.
 
     Paths are compared by their link numbers, so the smallest one is what a depth-first search meets first. A
     node is reached again from the same start only by a smaller path, and nothing beyond a start's best find
@@ -81,7 +88,7 @@ def follow_links(
     front = start.where(F.col("_end").isNull()).drop("_end")
     reached = front.select("_from", "_at", "_path")
     edges = links.select(F.col(node).alias("_at"), F.col(ordinal).cast("int").alias("_o"), F.col(target).alias("_to"))
-    edges = first_rows(edges, ["_at"], ["_o"], max_links)
+    edges = limits.pin(edges if max_links is None else first_rows(edges, ["_at"], ["_o"], max_links))
     for _ in range(max_depth):
         step = front.join(edges, "_at").where(~F.array_contains("_seen", F.col("_to")))
         step = step.select(
@@ -112,10 +119,11 @@ def follow_links(
 
 def reachable_emits(
     roots: DataFrame, edges: DataFrame, emits: DataFrame, node: str, ordinal: str, target: str, value: str,
-    max_depth: int = 8, cap: int = 64,
+    max_depth: int | None = None, cap: int | None = None,
 ) -> DataFrame:
     """What the nodes reachable from each root emit, each node once: ``root, value, emit_no`` (from 1), the
-    first ``cap`` distinct values in walk order.
+    distinct values in walk order; with ``cap`` the first of them. Levels end where nothing new is reached, with
+    ``max_depth`` at that depth.
 
     Links and emits of a node share one ordinal, so walk order is the order of the paths. A node counts where
     it is first reached: at the smallest depth, then by the smallest path.
@@ -124,20 +132,23 @@ def reachable_emits(
         F.col(node).alias("root"), F.col(node).alias("_at"), F.array().cast("array<int>").alias("_path")
     )
     links = edges.select(F.col(node).alias("_at"), F.col(ordinal).cast("int").alias("_o"), F.col(target).alias("_to"))
-    seen = [limits.pin(front)]
-    for _ in range(max_depth):
-        step = seen[-1].join(links, "_at").select(
+    links = limits.pin(links)
+    levels = [limits.pin(front)]
+    while max_depth is None or len(levels) <= max_depth:
+        step = levels[-1].join(links, "_at").select(
             "root", F.col("_to").alias("_at"), F.concat("_path", F.array("_o")).alias("_path")
         )
         step = step.groupBy("root", "_at").agg(F.min("_path").alias("_path"))
-        visited = reduce(DataFrame.unionByName, seen).select("root", "_at")
+        visited = reduce(DataFrame.unionByName, levels).select("root", "_at")
         step = limits.pin(step.join(visited, ["root", "_at"], "left_anti"))
         if step.isEmpty():
             break
-        seen.append(step)
-    reached = reduce(DataFrame.unionByName, seen)
+        levels.append(step)
+    reached = reduce(DataFrame.unionByName, levels)
     out = emits.select(F.col(node).alias("_at"), F.col(ordinal).cast("int").alias("_o"), F.col(value).alias("value"))
     out = reached.join(out, "_at").select("root", "value", F.concat("_path", F.array("_o")).alias("_path"))
-    # Distinct values at their first place, then the first ``cap`` of them: both combine before the shuffle.
+    # Distinct values at their first place; both this and a cap combine before the shuffle.
     out = out.groupBy("root", "value").agg(F.min("_path").alias("_path"))
+    if cap is None:
+        return ordered(out, ["root"], ["_path", "value"]).scan(emit_no=position()).rows("_path")
     return first_rows(out, ["root"], ["_path", "value"], cap, "emit_no").drop("_path")

@@ -303,11 +303,11 @@ def compare_tables(
     """
     left = a.select(*key, F.col(value).alias("_a"), F.lit(1).alias("_ha"))
     right = b.select(*key, F.col(value).alias("_b"), F.lit(1).alias("_hb"))
-    d = F.abs(F.col("_a") - F.col("_b")).cast("long")
+    d = F.abs(F.col("_a").cast("decimal(19,0)") - F.col("_b").cast("decimal(19,0)")).cast("decimal(19,0)")
     both = left.join(right, key, "full").withColumn("_d", d)
     stats = both.groupBy(*group).agg(
         F.count("_d").alias("n"),
-        F.max("_d").alias("max_diff"),
+        F.max("_d").cast("long").alias("max_diff"),
         F.sum((F.col("_d") * F.col("_d")).cast("decimal(38,0)")).alias("sq"),
         F.count_if(F.col("_ha").isNull() | F.col("_hb").isNull()).alias("missing"),
     )

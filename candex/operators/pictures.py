@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candex.functions.names import IMAGE_EXTENSIONS, dims_from_name, has_ext, size_rank, split_ext
+from candex.functions.names import IMAGE_EXTENSIONS, dims_from_name, fold, has_ext, size_rank, split_ext
 from candex.operators.filters import quality_band, size_gate
 from candex.operators.folds import budget_greedy
 from candex.operators.graph import lookup_path
@@ -63,7 +63,7 @@ def artwork(entries: DataFrame, folder: str) -> DataFrame:
 def covers(entries: DataFrame) -> DataFrame:
     """The first readable cover picture of the root folder, by the priority of its name."""
     root = entries.where("parent_id is null").select(*DISC, F.col("entry_id").alias("parent_id"))
-    stem = F.lower(split_ext("name")["stem"])
+    stem = fold(split_ext("name")["stem"])
     files = entries.where(~F.col("is_dir") & has_ext("name", IMAGE_EXTENSIONS) & stem.isin(COVER_NAMES))
     files = first_rows(files.join(root, [*DISC, "parent_id"]), DISC, ["pos", "entry_id"], MAX_IMAGES)
     rank = F.array_position(F.array(*[F.lit(n) for n in COVER_NAMES]), stem)

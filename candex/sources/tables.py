@@ -30,9 +30,14 @@ def inventory_files(spark: SparkSession, folder: str, exts=None, glob: str = "*"
     return files if exts is None else files.where(has_ext("name", exts))
 
 
-def write_selection(df: DataFrame, path: str, kind: str, mode: str = "overwrite") -> str:
-    """Writes the chosen payloads, one folder per kind; rows of a kind are spread over the writing tasks."""
-    df.write.mode(mode).partitionBy(kind).parquet(path)
+def write_selection(df: DataFrame, path: str, kind: str, mode: str = "errorifexists", spread: int = 8) -> str:
+    """Writes the chosen payloads, one folder per kind, in at most ``spread`` files for each kind.
+
+    An existing folder is an error unless ``mode`` says otherwise. Raise ``spread`` with the size of the largest kind.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(partitions, F.col(kind), salt).write.mode(mode).partitionBy(kind).parquet(path)
     return path
 
 

@@ -2,7 +2,7 @@
 
 Counters and the best-so-far choice are plain streaming aggregations: they combine on the map side and keep one
 small row per key. Reassembly, gate and marker need the order of rows; their per-key state is a few numbers and
-at most ``max_length`` characters.
+the text of the open fragment.
 """
 
 from __future__ import annotations
@@ -41,9 +41,16 @@ def stream_first_acceptable(
     return sdf.groupBy(*keys).agg(F.min(rank).alias("_m")).select(*keys, "_m.row.*")
 
 
-def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """The key's rows of one micro-batch, sorted."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+def _sorter(order: list[str]):
+    """A function that gives a key's rows of one micro-batch sorted.
+
+    State functions travel to the executors by value with all they refer to, so they refer to nothing of this package.
+    """
+
+    def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+
+    return in_order
 
 
 def _keyed(sdf: DataFrame, keys: list[str], fn, out: StructType, state: StructType) -> DataFrame:
@@ -52,13 +59,14 @@ def _keyed(sdf: DataFrame, keys: list[str], fn, out: StructType, state: StructTy
 
 def stream_reassemble(
     sdf: DataFrame, keys: list[str], order: list[str], is_first: str, is_last: str, part: str, separator: str = "",
-    max_length: int = 1 << 20, stated: str | None = None, broken: str | None = None,
+    max_length: int | None = None, stated: str | None = None, broken: str | None = None,
 ) -> DataFrame:
     """Fragments from a first part and its continuations, across micro-batches.
 
     A fragment is complete at its last part or at the length ``stated`` in its first row, or closed by the next
-    first one; an open one stays in the state. Longer ones than ``max_length`` are dropped, and rows are passed
-    over until the next first part, as they are from a ``broken`` row on (what came before it is kept).
+    first one; an open one stays in the state. Rows are passed over from a ``broken`` row on until the next first
+    part; what came before it is kept. With ``max_length``, a fragment that grows longer is given up where it does so: a row
+    with neither ``parts`` nor ``text`` stands for it.
     """
     key_fields = [sdf.schema[k] for k in keys]
     out = StructType(
@@ -69,42 +77,55 @@ def stream_reassemble(
         [StructField("fragment", LongType()), StructField("parts", LongType()), StructField("text", StringType()),
          StructField("goal", LongType()), StructField("open", BooleanType()), StructField("skip", BooleanType())]
     )
-    flags = [is_first, is_last, part]
+    in_order = _sorter(order)
 
     def push(key, batches, held: GroupState):
         fragment, parts, text, goal, opened, skip = held.get if held.exists else (0, 0, "", 0, False, False)
-        pieces, length, done = [text], len(text), []
-        rows = _in_order(batches, order)
-        goals = rows[stated].fillna(0) if stated is not None else [0] * len(rows)
-        bad = rows[broken].fillna(False) if broken is not None else [False] * len(rows)
-        for (first, last, piece), n, wrong in zip(rows[flags].itertuples(index=False), goals, bad):
-            piece = piece or ""
-            if wrong:
-                skip = True
-                continue
-            if first:
-                if opened:
-                    done.append((fragment, parts, "".join(pieces), False))
-                fragment, parts, pieces, length, opened, skip = fragment + 1, 1, [piece], len(piece), True, False
-                goal = int(n)
-            elif opened and not skip:
-                parts += 1
-                pieces += [separator, piece]
-                length += len(separator) + len(piece)
-            else:
-                continue
-            full = goal > 0 and length >= goal
-            if full or (last and length <= max_length):
-                text = "".join(pieces)
-                done.append((fragment, parts, text[:goal] if goal > 0 else text, True))
-            if full or last or length > max_length:
-                opened, pieces = False, []
-        held.update((int(fragment), int(parts), "".join(pieces) if opened else "", int(goal), bool(opened), bool(skip)))
-        if done:
-            result = pd.DataFrame(done, columns=["fragment", "parts", "text", "complete"])
-            for k, v in reversed(list(zip(keys, key))):
+        rows = in_order(batches)
+        wrong = rows[broken].fillna(False).astype(bool) if broken is not None else pd.Series(False, rows.index)
+        first = rows[is_first].fillna(False).astype(bool) & ~wrong
+        # 0 is the fragment that was open before, then one for each first part.
+        f = pd.DataFrame({"no": first.cumsum(), "first": first, "piece": rows[part].fillna("")})
+        f["goal"] = rows[stated].fillna(0).where(first) if stated is not None else pd.Series(0, rows.index).where(first)
+        f["goal"] = f.groupby("no")["goal"].ffill().fillna(goal).astype("int64")
+        live = wrong.groupby(f["no"]).cumsum() == 0
+        live &= (f["no"] > 0) | bool(opened and not skip)
+        f["length"] = (f["piece"].str.len() + (~first) * len(separator)).where(live, 0)
+        f["length"] = f.groupby("no")["length"].cumsum() + (f["no"] == 0) * len(text)
+        f["full"] = (f["goal"] > 0) & (f["length"] >= f["goal"])
+        f["over"] = f["length"] > max_length if max_length is not None else False
+        f["last"] = rows[is_last].fillna(False).astype(bool)
+        ends = live & (f["full"] | f["over"] | f["last"])
+        used = f[live & (ends.groupby(f["no"]).cumsum() - ends == 0)]
+        joined = used.groupby("no").agg(
+            n=("piece", "size"), text=("piece", separator.join), goal=("goal", "first"), full=("full", "last"), over=("over", "last"), last=("last", "last")
+        )
+        top = int(f["no"].iloc[-1])
+        if opened and 0 not in joined.index:
+            joined.loc[0] = [0, "", goal, False, False, False]
+        joined = joined.sort_index()
+        if opened:
+            joined.loc[0, "text"] = separator.join([text, joined.loc[0, "text"]]) if joined.loc[0, "n"] else text
+            joined.loc[0, "n"] += parts
+        given = joined["over"].astype(bool) & ~joined["full"].astype(bool)
+        whole = (joined["full"] | joined["last"]).astype(bool) & ~given
+        closed = whole | given
+        # One that is neither is closed by the first part after it; the newest stays open.
+        done = joined[closed | (joined.index < top)]
+        cut = [t[:g] if g > 0 and w else t for t, g, w in zip(done["text"], done["goal"], whole[done.index], strict=True)]
+        result = pd.DataFrame({"fragment": done.index + fragment, "parts": done["n"], "text": cut, "complete": whole[done.index]})
+        result = result.astype({"fragment": "int64", "parts": "Int64", "complete": "bool"})
+        result.loc[given[done.index], ["parts", "text"]] = [pd.NA, None]
+        stays = top in joined.index and not closed[top]
+        skipping = bool(wrong[f["no"] == top].any() or (top == 0 and skip))
+        kept = joined.loc[top] if stays else None
+        held.update(
+            (int(fragment + top), int(kept["n"]) if stays else 0, kept["text"] if stays else "", int(kept["goal"]) if stays else 0, bool(stays), skipping)
+        )
+        if len(result):
+            for k, v in reversed(list(zip(keys, key, strict=True))):
                 result.insert(0, k, v)
-            yield result
+            yield result.reset_index(drop=True)
 
     return _keyed(sdf, keys, push, out, state)
 
@@ -113,6 +134,7 @@ def stream_start_gate(sdf: DataFrame, keys: list[str], order: list[str], t: str,
     """Rows from the first with ``t >= at`` on; the gate stays open, also for rows without a time."""
     names = sdf.columns
     state = StructType([StructField("open", BooleanType())])
+    in_order = _sorter(order)
 
     def push(key, batches, held: GroupState):
         if held.exists and held.get[0]:
@@ -120,7 +142,7 @@ def stream_start_gate(sdf: DataFrame, keys: list[str], order: list[str], t: str,
             for rows in batches:
                 yield rows[names]
             return
-        rows = _in_order(batches, order)
+        rows = in_order(batches)
         seen = (rows[t] >= rows[at]).fillna(False).cummax()
         held.update((bool(seen.iloc[-1]),))
         if seen.any():
@@ -139,26 +161,28 @@ def stream_until_marker(
         [StructField("open", BooleanType()), StructField("done", BooleanType()), StructField("size", LongType())]
     )
 
+    in_order = _sorter(order)
+
     def push(key, batches, held: GroupState):
         opened, done, used = held.get if held.exists else (False, False, 0)
         if done:
             return
-        rows = _in_order(batches, order)
-        keep = []
-        sizes = rows[size] if size is not None else [0] * len(rows)
-        for opens, ends, n in zip(rows[first], rows[end], sizes):
-            take = not done and (opened or bool(opens))
-            if take:
-                over = cap is not None and used + n > cap
-                done = over or (opened and bool(opens))
-                take = not done
-                opened = True
-                if take:
-                    used += int(n)
-                    done = bool(ends) and not opens
-            keep.append(take)
-        held.update((bool(opened), bool(done), int(used)))
-        if any(keep):
-            yield rows[keep][names]
+        rows = in_order(batches)
+        opens = rows[first].fillna(False).astype(bool)
+        start = 0 if opened else int(opens.idxmax()) if opens.any() else len(rows)
+        rows, opens = rows.iloc[start:], opens.iloc[start:]
+        stop = opens.copy()
+        stop.iloc[: 0 if opened else 1] = False
+        total = used + (rows[size].fillna(0) if size is not None else pd.Series(0, rows.index)).cumsum()
+        if cap is not None:
+            stop |= total > cap
+        # A row that stops the set is not part of it, one that ends it is.
+        out_at = int(stop.to_numpy().argmax()) if stop.any() else len(rows)
+        ends = (rows[end].fillna(False).astype(bool) & ~opens).to_numpy()[:out_at]
+        end_at = int(ends.argmax()) + 1 if ends.any() else out_at
+        kept = rows.iloc[:end_at]
+        held.update((bool(opened or len(rows)), bool(stop.any() or ends.any()), int(total.iloc[end_at - 1]) if end_at else int(used)))
+        if len(kept):
+            yield kept[names]
 
     return _keyed(sdf, keys, push, sdf.schema, state)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from candex.plans import limits
 from candex.plans.ordered import first_rows
@@ -16,10 +17,27 @@ from candex.plans.ordered import first_rows
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
     """A named Parquet input as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    if _status(spark, path).isDirectory():
+        return stream_folder(spark, path, schema, files_per_batch)
     return stream_folder(spark, folder, schema, files_per_batch, f"{name}.parquet")
 
 
+def _status(spark: SparkSession, path: str):
+    """What the path's own file system says about it, None if there is nothing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(place) if system.exists(place) else None
+
+
+def _written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows a drain wrote; an empty table if there was no micro-batch."""
+    if _status(spark, path) is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def stream_folder(spark: SparkSession, folder: str, schema, files_per_batch: int = 64, glob: str = "*.parquet"):
     """A folder of Parquet files as a stream."""
     return (
@@ -43,7 +61,7 @@ def drain_append(sdf: DataFrame, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(f"{path}/rows")
+    return _written(spark, f"{path}/rows", sdf.schema)
 
 
 def drain_update(sdf: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -65,5 +83,6 @@ def drain_update(sdf: DataFrame, keys: list[str], label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    numbered = StructType([*sdf.schema.fields, StructField("_batch", IntegerType())])
+    rows = _written(spark, f"{path}/rows", numbered)
     return first_rows(rows, keys, [F.col("_batch").desc()]).drop("_batch")

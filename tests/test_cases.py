@@ -242,7 +242,7 @@ def test_group_parts(spark):
     rows = [(1, 0, 7, 1), (1, 2, 5, 2), (1, 1, 6, 3), (1, 2, 9, 4), (1, 3, 0, 5), (1, 12, 4, 6), (2, 1, None, 7)]
     got = A.group_parts(spark.createDataFrame(rows, "s INT, part INT, size INT, pos INT"), ["s"], "part", "size", ["pos"])
     got = {r["s"]: r for r in got.collect()}
-    assert (got[1]["menu_size"], [tuple(p) for p in got[1]["parts"]], got[1]["total"]) == (7, [(1, 6), (2, 5)], 11)
+    assert (got[1]["menu_size"], [tuple(p) for p in got[1]["parts"]], got[1]["total"]) == (7, [(1, 6), (2, 5), (12, 4)], 15)
     assert (got[2]["menu_size"], got[2]["parts"], got[2]["total"]) == (None, [], 0)
 
 
@@ -264,11 +264,11 @@ def test_reassemble_modes(spark):
     assert _reassembled(spark, PARTS, "stop") == [(1, "ab", True)]
 
 
-def test_reassemble_drops_oversized(spark):
+def test_reassemble_flags_oversized(spark):
     rows = [("k", 1, True, False, "abc"), ("k", 2, False, True, "def"), ("k", 3, True, True, "x")]
-    assert _reassembled(spark, rows, "close", max_length=5) == [(2, "x", True)]
+    assert _reassembled(spark, rows, "close", max_length=5) == [(1, None, False), (2, "x", True)]
     assert _reassembled(spark, rows, "close", max_length=6) == [(1, "abcdef", True), (2, "x", True)]
-    assert _reassembled(spark, rows, "close", max_length=6, separator="-") == [(2, "x", True)]
+    assert _reassembled(spark, rows, "close", max_length=6, separator="-") == [(1, None, False), (2, "x", True)]
 
 
 def test_reassemble_stated_length_and_broken_rows(spark):
@@ -281,7 +281,7 @@ def test_reassemble_stated_length_and_broken_rows(spark):
     for group_rows in (None, 3):
         out = A.reassemble(df, ["k"], ["i"], "f", "l", "t", max_length=20, stated="n", broken="bad", group_rows=group_rows)
         got = [(r["fragment"], r["text"], r["complete"]) for r in out.orderBy("fragment").collect()]
-        assert got == [(1, "abcde", True), (2, "hi", False), (3, "qq", True)]
+        assert got == [(1, "abcde", True), (2, "hi", False), (3, "qq", True), (4, None, False)]
 
 
 def test_chunk_coverage(spark):
