@@ -5,12 +5,14 @@ A fold walks one group's array in order, so groups are kept below ``spark.candex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candex.functions.numbers import _c, int_div
 from candex.plans import limits
-from candex.plans.ordered import first_rows, ordered, position, running_sum, same_keys
+from candex.plans.ordered import first_rows, ordered, position, running_count, running_sum, same_keys
 
 
 def _greedy_fold(df: DataFrame, keys: list[str], order: list[str], cost: str) -> DataFrame:
@@ -24,7 +26,7 @@ def _greedy_fold(df: DataFrame, keys: list[str], order: list[str], cost: str) ->
     start = F.struct(F.col("_left").alias("left"), F.array().cast("array<int>").alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (x["cost"] <= acc["left"]) & (F.size(acc["taken"]) < F.col("_quota"))
+        fits = (x["cost"] <= acc["left"]) & F.coalesce(F.size(acc["taken"]) < F.col("_quota"), F.lit(True))
         return F.struct(
             F.when(fits, acc["left"] - x["cost"]).otherwise(acc["left"]).alias("left"),
             F.when(fits, F.concat(acc["taken"], F.array(x["i"]))).otherwise(acc["taken"]).alias("taken"),
@@ -36,51 +38,56 @@ def _greedy_fold(df: DataFrame, keys: list[str], order: list[str], cost: str) ->
 
 
 def budget_greedy(
-    df: DataFrame, keys: list[str], order: list[str], cost: str, budget: int, max_n: int = 2**31 - 1,
+    df: DataFrame, keys: list[str], order: list[str], cost: str, budget: int, max_n: int | None = None,
     fold_rows: int | None = None, group_rows: int | None = None,
 ) -> DataFrame:
     """Takes rows in order while they fit: one that does not is skipped, later smaller ones may still be taken;
-    at most ``max_n`` per group.
+    with ``max_n`` at most so many per group.
 
-    Groups above ``fold_rows`` rows go through rounds of distributed scans: the longest prefix that fits is
-    taken, rows that cannot fit into what is left drop out for good, and once a group is small enough the fold
-    finishes it. Every round decides at least one row of each such group; the result is exact.
+    Groups up to ``fold_rows`` rows are folded. A larger one goes through rounds: with L left, rows that cost at most
+    half of it are taken until either a dearer row fits into what is left or they have used up more than half of L.
+    Every row up to there is decided, and less than half of L is left: after at most log2(budget) + 1 rounds nothing is.
+    The result is exact.
     """
-    fits = df.where(F.col(cost).between(0, budget))
-    fits = fits.withColumns({"_left": F.lit(budget).cast("long"), "_quota": F.lit(max_n)})
+    quota = F.lit(max_n).cast("long")
+    fits = df.where(F.col(cost).between(0, budget)).withColumns({"_left": F.lit(budget).cast("long"), "_quota": quota})
     fold_rows = fold_rows or limits.limit(df.sparkSession, "foldRows")
     by = [F.col(k) for k in keys]
-    taken, rest = None, fits
-    while True:
-        large = limits.pin(
-            rest.groupBy(*keys).count().where(F.col("count") > fold_rows)
-            .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-        )
-        found = large.count()
-        if not found:
-            break
-        hot = F.broadcast(large) if found <= limits.limit(df.sparkSession, "broadcastRows") else large
-        match = same_keys(by, [F.col(f"_k{i}") for i in range(len(keys))])
-        small = rest.join(hot, match, "left_anti")
-        big = rest.join(hot, match, "left_semi")
-        scan = ordered(big, keys, order, group_rows).scan(_spent=running_sum(cost), _pos=position()).rows()
-        inside = (F.col("_spent") <= F.col("_left")) & (F.col("_pos") <= F.col("_quota"))
-        scan = limits.pin(scan.withColumn("_in", inside))
-        used = scan.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-            F.coalesce(F.max(F.when(F.col("_in"), F.col("_spent"))), F.lit(0)).alias("_used"),
-            F.count_if("_in").alias("_count"),
+    names = [f"_k{i}" for i in range(len(keys))]
+    match = same_keys(by, [F.col(n) for n in names])
+    renamed = [k.alias(n) for k, n in zip(by, names, strict=True)]
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of groups that can be folded, and those of larger ones."""
+        large = limits.pin(rows.groupBy(*renamed).count().where(F.col("count") > fold_rows).drop("count"))
+        if large.isEmpty():
+            return rows, None
+        return (rows.join(large, match, "left_anti"), rows.join(large, match, "left_semi")) if keys else (rows.limit(0), rows)
+
+    small, rest = split(fits)
+    taken, folded = [], [small]
+    while rest is not None:
+        value = F.col(cost).cast("long")
+        light = 2 * value <= F.col("_left")
+        scan = ordered(rest, keys, order, group_rows).scan(
+            _spent=running_sum(F.when(light, value), inclusive=False), _seen=running_count(light, inclusive=False)
         )
-        used = limits.broadcast_if(used, found)
-        now = scan.where("_in").select(*df.columns)
-        taken = now if taken is None else taken.unionByName(now)
-        later = scan.where(~F.col("_in")).join(used, match)
-        later = later.withColumns(
-            {"_left": F.col("_left") - F.col("_used"), "_quota": (F.col("_quota") - F.col("_count")).cast("int")}
+        last = F.when(light, 2 * (F.col("_spent") + value) > F.col("_left")).otherwise(value <= F.col("_left") - F.col("_spent"))
+        scan = scan.with_columns(_last=last).scan(_stops=running_count(F.col("_last"), inclusive=False)).rows()
+        chosen = (F.col("_stops") == 0) & (light | F.col("_last")) & F.coalesce(F.col("_seen") < F.col("_quota"), F.lit(True))
+        scan = limits.pin(scan.withColumn("_taken", chosen))
+        used = scan.groupBy(*renamed).agg(
+            F.coalesce(F.sum(F.when(F.col("_taken"), F.col(cost))), F.lit(0)).cast("long").alias("_used"),
+            F.count_if("_taken").alias("_count"),
         )
-        later = later.where((F.col(cost) <= F.col("_left")) & (F.col("_quota") > 0)).select(*rest.columns)
-        rest = limits.pin(small.unionByName(later))
-    out = _greedy_fold(rest, keys, order, cost)
-    return out if taken is None else taken.unionByName(out.select(*df.columns))
+        taken.append(scan.where("_taken").select(*df.columns))
+        later = scan.where("_stops > 0").join(limits.pin(used), match)
+        later = later.withColumns({"_left": F.col("_left") - F.col("_used"), "_quota": F.col("_quota") - F.col("_count")})
+        later = later.where((F.col(cost) <= F.col("_left")) & F.coalesce(F.col("_quota") > 0, F.lit(True)))
+        small, rest = split(limits.pin(later.select(*fits.columns)))
+        folded.append(small)
+    out = _greedy_fold(reduce(DataFrame.unionByName, folded), keys, order, cost).select(*df.columns)
+    return reduce(DataFrame.unionByName, [*taken, out])
 
 
 def over(under: Column, top: Column, channels: list[str], alpha: str) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candex.functions.numbers import _c, int_div
+from candex.plans import limits
 from candex.plans.joins import asof, explode_range, rank_bounds, ranks_join
-from candex.plans.ordered import group_max, group_sum, ordered, position, running_max, running_sum
+from candex.plans.ordered import group_max, group_sum, join_on, ordered, position, running_max, running_sum
 
 # Bytes that hold the picture at an entry point, per profile, for size codes 1 to 6.
 PICTURE_BOUNDS = {
@@ -99,7 +100,8 @@ def slice_extents(
     Extents tile the file, so a request covers a run of extent numbers: one scan over both sides gives its
     ends and the pieces come from an equi-join on (file, extent number), which spreads even one huge file.
     """
-    placed = (
+    # Read by the scan and by the join: written once.
+    placed = limits.pin(
         ordered(extents.where(F.col(ext_len) > 0), [key], order, group_rows)
         .scan(ord=position(), ext_stop=running_sum(ext_len))
         .rows()
@@ -115,7 +117,7 @@ def slice_extents(
     )
     wanted = runs.select(key, "_span.*", "_a", "_b", F.coalesce("_covered", F.lit(0).cast("long")).alias("_covered"))
     runs = explode_range(wanted.where("_off < _covered"), F.col("_a"), F.col("_b") + 1, "ord")
-    pieces = runs.select(key, request, "_off", "_stop", "ord").join(placed, [key, "ord"])
+    pieces = join_on(runs.select(key, request, "_off", "_stop", "ord"), placed, [key, "ord"])
     begin = F.greatest("_off", "ext_start")
     pieces = pieces.select(
         key,

@@ -19,6 +19,7 @@ from candex.plans.ordered import (
     group_max,
     group_min,
     group_sum,
+    join_on,
     next_value,
     ordered,
     position,
@@ -57,13 +58,13 @@ def expand_index(
     wrong = F.max((F.col(first) > F.col("_next")).cast("int")).alias("_down")
     bad = (
         ends.groupBy(*by).agg(wrong, F.max(first).alias("_top"))
-        .join(sizes, by, "left")
+        .transform(lambda groups: join_on(groups, sizes, by, "left"))
         .where((F.coalesce("_down", F.lit(0)) > 0) | (F.col("_top") > F.coalesce("_size", F.lit(0))))
         .select(*by)
     )
     found = asof(fine, coarse, by, position_col, first, payload, [coarse_order], "_m", group_rows)
     rows = found.where(F.col("_m").isNotNull()).select(*fine.columns, *[F.col(f"_m.{c}").alias(c) for c in payload])
-    return rows.join(bad, by, "left_anti"), bad
+    return join_on(rows, bad, by, "left_anti"), bad
 
 
 def marks_to_spans(df, keys, pos: str, total: str, group_rows=None) -> DataFrame:

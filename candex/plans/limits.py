@@ -5,7 +5,6 @@ Every limit is a session setting, so a cluster can raise or lower it without cod
 ``spark.candex.groupRows``      rows of one group that a single window task may sort (default 5 000 000)
 ``spark.candex.foldRows``       rows of one group that may be collected into one array (default 20 000)
 ``spark.candex.checkBytes``     inputs read from fewer bytes than this skip the hot-group check (default 128 MiB)
-``spark.candex.broadcastRows``  rows of a counted table that may be broadcast (default 200 000)
 """
 
 from __future__ import annotations
@@ -15,13 +14,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "groupRows": 5_000_000,
     "foldRows": 20_000,
     "checkBytes": 128 * 1024 * 1024,
-    "broadcastRows": 200_000,
 }
 
 _UNITS = {"B": 1, "KiB": 2**10, "MiB": 2**20, "GiB": 2**30, "TiB": 2**40, "PiB": 2**50, "EiB": 2**60}
@@ -48,11 +45,6 @@ def small_input(df: DataFrame) -> bool:
     return leaf_bytes(df) <= limit(df.sparkSession, "checkBytes")
 
 
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """Hints a broadcast of ``df`` when its counted ``rows`` are few; Spark decides otherwise."""
-    return F.broadcast(df) if rows <= limit(df.sparkSession, "broadcastRows") else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir`` or set on the context; a temporary one only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -106,6 +106,14 @@ def same_keys(left: list[Column], right: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)], F.lit(True))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on columns of the same names in which null equals null."""
+    names = [f"_right_{k}" for k in keys]
+    renamed = right.withColumnsRenamed(dict(zip(keys, names)))
+    out = left.join(renamed, same_keys([F.col(k) for k in keys], [F.col(n) for n in names]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names)
+
+
 _WINDOW = {"sum": F.sum, "max": F.max, "group_sum": F.sum, "group_min": F.min, "group_max": F.max}
 
 
@@ -132,7 +140,6 @@ class Ordered:
     order: tuple
     cold: DataFrame
     hot: DataFrame | None = None
-    carry_rows: int = 0
 
     def _each(self, change) -> Ordered:
         return replace(self, cold=change(self.cold), hot=None if self.hot is None else change(self.hot))
@@ -209,7 +216,8 @@ class Ordered:
                 local[f"_l_{name}"] = _plain(s, inner, inner)
         rows = chunked.withColumns(local) if local else chunked
         # One row per (hot group, chunk). Written out, or every later scan would compute this one twice more.
-        table = limits.broadcast_if(limits.pin(table), self.carry_rows)
+        # Its size is known then, and Spark broadcasts it if it is below its threshold in bytes.
+        table = limits.pin(table)
         match = same_keys(by + [F.col(CHUNK)], [F.col(f"_k{i}") for i in range(len(keys))] + [F.col("_kc")])
         rows = rows.join(table, match, "left")
 
@@ -244,7 +252,7 @@ def ordered(df: DataFrame, keys, order, group_rows: int | None = None) -> Ordere
     found, rows = large.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not found:
         return Ordered(keys, order, df)
-    names = limits.broadcast_if(large.drop("_n"), found)
+    names = large.drop("_n")
     match = same_keys(by, [F.col(f"_k{i}") for i in range(len(keys))])
     if keys:
         hot, cold = df.join(names, match, "left_semi"), df.join(names, match, "left_anti")
@@ -253,8 +261,7 @@ def ordered(df: DataFrame, keys, order, group_rows: int | None = None) -> Ordere
     chunks = int(-(-rows // group_rows) + 1)
     hot = hot.repartitionByRange(chunks, *by, *sort_columns(order))
     hot = limits.pin(hot.withColumn(CHUNK, F.spark_partition_id()))
-    # A chunk ends at most one group that began before it, so (group, chunk) pairs are at most groups + chunks.
-    return Ordered(keys, order, cold, hot, found + chunks)
+    return Ordered(keys, order, cold, hot)
 
 
 def first_rows(df: DataFrame, keys, order, n: int = 1, number: str = "") -> DataFrame:

@@ -18,7 +18,7 @@ def spark():
 @pytest.fixture()
 def hot(spark):
     """Limits so low that ordinary groups take the paths for groups too large for one task."""
-    values = {"checkBytes": "0", "groupRows": "3", "foldRows": "3", "broadcastRows": "1000"}
+    values = {"checkBytes": "0", "groupRows": "3", "foldRows": "3"}
     for name, value in values.items():
         spark.conf.set(f"spark.candex.{name}", value)
     yield spark

@@ -9,10 +9,9 @@ FOLDER = "/root/testdata/sf0.001"
 
 # Queries that are a first-n choice per group.
 LIMITED = [
-    "a1_group_parts", "a2_top_groups", "a10_latest_version", "a11_dedup_first", "f1_first_by_name", "q1_best_documents",
+    "a1_group_parts", "a2_top_groups", "a10_latest_version", "a11_dedup_first", "f1_first_by_name",
     "u1_ordered_union_distinct", "u2_limit_per_group", "w10_nested_quota", "w12_cap_then_rank",
     "w14_first_acceptable_else_best", "w15_priority_fallback", "w18_choose_default", "w21_first_match_in_group",
-    "x6_layer_fold",
 ]
 
 
