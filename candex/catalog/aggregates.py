@@ -68,6 +68,21 @@ def quantity_moments(spark, d):
     return _rounded(A.moments(items(spark, d), ["l_returnflag", "l_linestatus"], "qty"))
 
 
+LARGE = 3_000_000_019
+
+
+@query(
+    "a3_moments_large",
+    f"""WITH {ITEMS_SQL}, v AS (SELECT l_returnflag, CAST(qty * {LARGE} - 70000000000 AS HUGEINT) AS x FROM li)
+        SELECT l_returnflag, count(*) AS n, CAST(sum(x) AS VARCHAR) AS total, CAST(sum(x * x) AS VARCHAR) AS squares
+        FROM v GROUP BY 1""",
+)
+def large_moments(spark, d):
+    values = items(spark, d).withColumn("x", F.col("qty") * LARGE - 70_000_000_000)
+    found = A.moments(values, ["l_returnflag"], "x")
+    return found.select("l_returnflag", "n", F.col("total").cast("string").alias("total"), F.col("squares").cast("string").alias("squares"))
+
+
 @query(
     "a4_grid_moments",
     f"""WITH {ITEMS_SQL}, g AS (SELECT *, count(*) OVER w AS cells, min(l_orderkey) OVER w AS r0,
