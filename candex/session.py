@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "16g") -> SparkSession:
+def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with adaptive execution and a UTC clock."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
