@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from candex.catalog.registry import query, table
+from candex.catalog.registry import ITEMS_SQL, LINES, LINES_SQL, items, query, table
+from candex.functions.numbers import int_div
+from candex.operators.aggregates import group_parts, top_groups
 from candex.operators.filters import quarantine, size_gate
-from candex.operators.windows import first_acceptable_else_best, rank_candidates
+from candex.operators.lookups import anti_seen, locate_offset
+from candex.operators.windows import first_acceptable_else_best, nested_quota, ordered_union_distinct, rank_candidates
 from candex.sources.tables import access_report
 
 @query(
@@ -33,3 +36,64 @@ def best_documents(spark, d):
     best = first_acceptable_else_best(tried, ["source"], ["rank_no"], ok, "n_chars")
     report = access_report(tried, ["source"], "n_chars")
     return best.join(report, "source").select("source", "doc_id", "n_chars", "rank_no", "reads", "bytes")
+
+
+# Places tried in a set, in per mille of its length.
+PLACES = ((1, 250), (2, 400), (3, 700))
+
+
+@query(
+    "q2_group_search",
+    f"""WITH {ITEMS_SQL}, l AS (SELECT o_custkey, li.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINES_SQL}) AS part
+            FROM li JOIN orders ON l_orderkey = o_orderkey),
+          once AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINES_SQL}) AS rn FROM l),
+          sets AS (SELECT o_custkey, l_orderkey, sum(qty) FILTER (WHERE l_linenumber <> 1 AND qty > 0) AS total FROM once
+            WHERE rn = 1 GROUP BY 1, 2),
+          top AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY total DESC, l_orderkey) AS r FROM sets
+            WHERE total >= 20),
+          listed AS (SELECT o_custkey, o_orderkey AS l_orderkey, 1 AS list_no FROM orders WHERE o_orderpriority = '1-URGENT'
+            UNION ALL SELECT o_custkey, l_orderkey, 2 FROM top WHERE r <= 2),
+          q1 AS (SELECT o_custkey, l_orderkey, min(list_no) AS list_no FROM listed GROUP BY 1, 2),
+          q2 AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, list_no ORDER BY l_orderkey) AS r1 FROM q1),
+          q3 AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY list_no, l_orderkey) AS r2 FROM q2 WHERE r1 <= 2),
+          q AS (SELECT o_custkey, l_orderkey, list_no FROM q3 WHERE r2 <= 3),
+          ends AS (SELECT *, sum(qty) OVER (PARTITION BY l_orderkey ORDER BY part) AS e FROM l),
+          size AS (SELECT l_orderkey, sum(qty) AS n FROM l GROUP BY 1),
+          t AS (SELECT q.*, try_no, (n - 1) * p // 1000 AS pos FROM q JOIN size USING (l_orderkey)
+            CROSS JOIN (VALUES (1, 250), (2, 400), (3, 700)) AS v(try_no, p)),
+          h AS (SELECT t.o_custkey, 1 AS stage, list_no, t.l_orderkey, try_no, part, price FROM t
+            JOIN ends ON ends.l_orderkey = t.l_orderkey AND e - qty <= pos AND pos < e),
+          u AS (SELECT q.o_custkey, 2 AS stage, list_no, q.l_orderkey, part AS try_no, part, price FROM q JOIN l USING (l_orderkey)
+            WHERE (q.l_orderkey, part) NOT IN (SELECT (l_orderkey, part) FROM h)),
+          c AS (SELECT *, price BETWEEN 2000000 AND 3000000 AS ok FROM (FROM h UNION ALL FROM u)),
+          b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY ok DESC, CASE WHEN ok THEN 0 ELSE -price END, stage,
+            list_no, l_orderkey, try_no) AS rn FROM c)
+        SELECT o_custkey, l_orderkey, CAST(part AS BIGINT) AS part, price, CAST(stage AS INTEGER) AS stage,
+          CAST(list_no AS INTEGER) AS list_no, ok FROM b WHERE rn = 1""",
+)
+def group_search(spark, d):
+    """The whole search for each customer: sets of parts, queue, quotas, sampled places, last resort, choice."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
+    lines = rank_candidates(items(spark, d).join(orders, "l_orderkey"), ["l_orderkey"], [], LINES)
+    lines = lines.withColumnRenamed("rank_no", "part")
+    sets = group_parts(lines.withColumn("part", F.col("l_linenumber") - 1), ["o_custkey", "l_orderkey"], "part", "qty", LINES)
+    largest = top_groups(sets, ["l_orderkey"], "total", 2, ["o_custkey"], minimum=20)
+    urgent = orders.where("o_orderpriority = '1-URGENT'")
+    names = ["o_custkey", "l_orderkey"]
+    queue = ordered_union_distinct([urgent.select(names), largest.select(names)], names, ["l_orderkey"])
+    queue = nested_quota(queue, ["o_custkey"], ["list_no"], ["list_no", "l_orderkey"], 2, 3)
+
+    lengths = lines.groupBy("l_orderkey").agg(F.sum("qty").alias("n"))
+    tries = F.explode(F.array(*[F.struct(F.lit(no).alias("no"), F.lit(p).alias("p")) for no, p in PLACES])).alias("t")
+    wanted = queue.join(lengths, "l_orderkey").select(*names, "list_no", "n", tries)
+    wanted = wanted.select(*names, "list_no", F.col("t.no").cast("long").alias("try_no"), int_div((F.col("n") - 1) * F.col("t.p"), 1000).alias("pos"))
+    found = locate_offset(wanted, lines, "l_orderkey", "pos", ["part"], "qty", "part").where(~F.col("at_end"))
+    prices = lines.select("l_orderkey", "part", "price")
+    tried = found.join(prices, ["l_orderkey", "part"]).withColumn("stage", F.lit(1))
+    rest = anti_seen(queue.join(prices, "l_orderkey"), found, ["l_orderkey", "part"])
+    rest = rest.withColumns({"try_no": F.col("part"), "stage": F.lit(2)})
+    columns = [*names, "list_no", "stage", "try_no", "part", "price"]
+    ok = F.col("price").between(2_000_000, 3_000_000)
+    attempts = tried.select(columns).unionByName(rest.select(columns))
+    best = first_acceptable_else_best(attempts, ["o_custkey"], ["stage", "list_no", "l_orderkey", "try_no"], ok, "price")
+    return best.select("o_custkey", "l_orderkey", "part", "price", "stage", "list_no", ok.alias("ok"))
