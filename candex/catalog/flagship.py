@@ -2,12 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from candex.catalog.registry import ITEMS_SQL, LINES, LINES_SQL, items, query, table
+from candex.catalog.registry import EVENTS_SQL, ITEMS_SQL, LINES, LINES_SQL, events, items, query, table
 from candex.functions.numbers import int_div
 from candex.operators.aggregates import group_parts, top_groups
 from candex.operators.filters import quarantine, size_gate
-from candex.operators.lookups import anti_seen, locate_offset
-from candex.operators.windows import first_acceptable_else_best, nested_quota, ordered_union_distinct, rank_candidates
+from candex.operators.lookups import anti_seen, coalesce_backup, interval_join_fallback, locate_offset, semi_supported
+from candex.operators.windows import (
+    first_acceptable_else_best,
+    nested_quota,
+    ordered_union_distinct,
+    permille_sample,
+    rank_candidates,
+)
 from candex.sources.tables import access_report
 
 @query(
@@ -97,3 +103,47 @@ def group_search(spark, d):
     attempts = tried.select(columns).unionByName(rest.select(columns))
     best = first_acceptable_else_best(attempts, ["o_custkey"], ["stage", "list_no", "l_orderkey", "try_no"], ok, "price")
     return best.select("o_custkey", "l_orderkey", "part", "price", "stage", "list_no", ok.alias("ok"))
+
+
+@query(
+    "q3_interval_search",
+    f"""WITH {EVENTS_SQL},
+          it AS (SELECT user_id, event_id AS item, CASE WHEN cents > 5000 THEN 'primary' ELSE 'backup' END AS origin,
+              CASE WHEN cents > 5000 THEN day_secs ELSE day_secs - 86400 END AS t0,
+              CASE WHEN cents > 5000 THEN day_secs + 86400 ELSE day_secs END AS t1
+            FROM ev WHERE event_type = 'purchase' AND (cents > 5000 OR day_secs >= 86400)),
+          en AS (SELECT user_id, event_id AS entry, day_secs AS t, cents FROM ev WHERE event_type IN ('view', 'click')),
+          w AS (SELECT it.user_id, item, origin, entry, cents FROM it JOIN en USING (user_id)
+            WHERE t >= greatest(t0 - 255, 0) AND t < t1),
+          r AS (SELECT * FROM it WHERE item NOT IN (SELECT item FROM w)),
+          s AS (SELECT user_id, item, origin, max(entry) AS entry FROM r JOIN en USING (user_id) WHERE t <= t0 GROUP BY 1, 2, 3),
+          pairs AS (SELECT *, 'within' AS rule FROM w
+            UNION ALL SELECT s.user_id, item, origin, entry, cents, 'start' FROM s JOIN en USING (entry)
+            UNION ALL SELECT r.user_id, item, origin, entry, cents, 'all' FROM r JOIN en USING (user_id)
+              WHERE item NOT IN (SELECT item FROM s)),
+          big AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item) AS k
+            FROM (SELECT user_id, item, count(*) AS n FROM pairs GROUP BY 1, 2)),
+          p AS (SELECT pairs.*, row_number() OVER w AS pos, count(*) OVER (PARTITION BY pairs.user_id, item) AS n
+            FROM pairs JOIN big USING (user_id, item) WHERE k <= 3 WINDOW w AS (PARTITION BY pairs.user_id, item ORDER BY entry)),
+          places(no, p) AS (VALUES (1, 250), (2, 400), (3, 150), (4, 550), (5, 700)),
+          m AS (SELECT p.* EXCLUDE (n, pos), places.no AS try_no, row_number() OVER (PARTITION BY user_id, item, entry ORDER BY no) AS met
+            FROM p JOIN places ON (n - 1) * places.p // 1000 = pos - 1),
+          c AS (SELECT *, cents BETWEEN 3000 AND 6000 AS ok FROM m WHERE met = 1),
+          b AS (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY ok DESC, CASE WHEN ok THEN 0 ELSE -cents END,
+            try_no) AS rn FROM c)
+        SELECT user_id, item, origin, rule, entry, cents, CAST(try_no AS INTEGER) AS try_no FROM b WHERE rn = 1""",
+)
+def interval_search(spark, d):
+    """The search by time for each user: windows with a backup, entries in them, largest windows, places, choice."""
+    e = events(spark, d)
+    bought = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("item"), "day_secs", "cents")
+    own = bought.select("user_id", "item", F.col("day_secs").alias("t0"), (F.col("day_secs") + 86400).alias("t1"), (F.col("cents") > 5000).alias("good"))
+    spare = bought.select("user_id", "item", (F.col("day_secs") - 86400).alias("t0"), F.col("day_secs").alias("t1"), (F.col("day_secs") >= 86400).alias("good"))
+    windows = coalesce_backup(own, spare, ["user_id", "item"], lambda c: c("good"))
+    seen = e.where("event_type IN ('view', 'click')").select("user_id", F.col("event_id").alias("entry"), F.col("day_secs").alias("t"), "cents")
+    pairs = interval_join_fallback(windows, seen, ["user_id"], "item", "t0", "t1", "t", ["entry"], ["entry", "cents"])
+    largest = top_groups(pairs.withColumn("n", F.lit(1)), ["item"], "n", 3, ["user_id"])
+    sampled = permille_sample(semi_supported(pairs, largest, ["user_id", "item"]), ["user_id", "item"], ["entry"])
+    ok = F.col("cents").between(3000, 6000)
+    best = first_acceptable_else_best(sampled, ["user_id", "item"], ["try_no"], ok, "cents")
+    return best.join(windows.select("item", "origin"), "item").select("user_id", "item", "origin", "rule", "entry", "cents", "try_no")
