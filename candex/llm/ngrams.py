@@ -65,16 +65,18 @@ def _partition() -> int:
 
 
 def _write_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Writes one range of the vocabulary: hashes and running counts."""
+    """Writes one range of the vocabulary: hashes, counts, and how many tokens of the range come before each."""
     first, rows, total = None, 0, 0
     shard = _partition()
-    with writing(f"{path}/words-{shard:06d}") as words, writing(f"{path}/counts-{shard:06d}") as counts:
+    at = [f"{path}/{name}-{shard:06d}" for name in ("words", "counts", "below")]
+    with writing(at[0]) as words, writing(at[1]) as counts, writing(at[2]) as below:
         for batch in batches:
             if batch.num_rows:
                 h, n = (batch.column(i).to_numpy() for i in range(2))
                 first = int(h[0]) if first is None else first
                 words.write(h.tobytes())
                 counts.write(n.astype(np.int64).tobytes())
+                below.write((np.cumsum(n) - n + total).astype(np.int64).tobytes())
                 rows += len(h)
                 total += int(n.sum())
     if rows:
@@ -159,8 +161,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, buck
     """Counts of bigrams, with the bucket: the share of the tokens below them if words were independent."""
     held: list[np.ndarray] = []
     ahead = np.concatenate(([0], np.cumsum(vocabulary.totals)))
-    below = [np.cumsum(c) - c + a for c, a in zip(vocabulary.arrays("counts", np.int64), ahead, strict=False)]
-    starts = vocabulary.starts
+    below, starts = vocabulary.arrays("below", np.int64), vocabulary.starts
 
     def mass(numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers))
@@ -168,7 +169,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, buck
         bounds = np.searchsorted(numbers[order], starts)
         for i, values in enumerate(below):
             where = order[bounds[i] : bounds[i + 1]]
-            out[where] = values[numbers[where] - starts[i]]
+            out[where] = values[numbers[where] - starts[i]] + ahead[i]
         return out
 
     def emit():
