@@ -411,6 +411,53 @@ def test_vectors_match_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def grouped_vectors(sizes, noise):
+    """``sizes[i]`` vectors around direction i of a chain, neighbours 0.985 apart, other directions below 0.98."""
+    turn, rng = math.acos(0.985), np.random.default_rng(5)
+    made = []
+    for i, n in enumerate(sizes):
+        # Pairs (0, 1), (2, 3), ... lie in planes of their own.
+        centre = np.zeros(2 * len(sizes))
+        centre[2 * (i // 2)], centre[2 * (i // 2) + 1] = math.cos(turn * (i % 2)), math.sin(turn * (i % 2))
+        made += [(centre + noise * rng.standard_normal(len(centre)), i // 2) for _ in range(n)]
+    return made
+
+
+@pytest.mark.parametrize(("noise", "audited", "cell"), [(0.0, 512, 256), (1e-5, 512, 256), (1e-5, 0, 16)])
+def test_vectors_link_groups_larger_than_their_lists(spark, monkeypatch, noise, audited, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    made = grouped_vectors([20, 20, 140, 0, 30, 30], noise)
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, (v, _) in enumerate(made)], "vec_id long, embedding array<double>, label int")
+    own = Counter(g for _, g in made)
+    first = {g: next(i for i, (_, h) in enumerate(made) if h == g) for g in own}
+    found = vectors.near_vectors(df.repartition(4), audited=audited).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(i, own[g] - 1, first[g]) for i, (_, g) in enumerate(made)]
+
+
+def test_full_lists_are_enlarged_outside_their_component(spark):
+    # Two groups that only the lists of other components can join: nothing but the first graph's links are given.
+    made = [v for v, _ in grouped_vectors([20, 20], 1e-5)]
+    rows = [(i, "0", 4, [float(x) for x in v], 0 if i < 20 else 20) for i, v in enumerate(made)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, dim int, vec array<double>, comp long")
+    graph = vectors._descend(df, None, None, [0], 8, 2, 0.002, 0.98).collect()
+    assert graph and all((r.v < 20) != (r.u < 20) for r in graph)
+    assert {r.v for r in graph if r.link} | {r.u for r in graph if r.link} == set(range(40))
+
+
+def test_forest_joins_what_all_links_join():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30):
+        linked = rng.random((n, n)) < 0.04
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+        child, parent = vectors._forest(linked)
+        assert linked[child, parent].all() and len(set(child)) == len(child)
+        reach = np.eye(n, dtype=bool)
+        for _ in range(n):
+            reach = reach @ (linked | np.eye(n, dtype=bool))
+        assert n - len(child) == len({tuple(r) for r in reach})
+
+
 # Language model
 
 
