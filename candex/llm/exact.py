@@ -82,7 +82,8 @@ class DigestIndex:
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the index keeps, with all their columns; rows are told apart by ``doc_id``."""
-    (name,) = unused(docs, "gone")
-    gone = index.admit(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """The rows of ``docs`` that the index keeps, with all their columns; each row, also of a null or repeated id, goes or
+    stays by its own verdict, which hangs on its id and digest."""
+    name, key = unused(docs, "gone", "key")
+    gone = index.admit(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias(name), F.col("digest").alias(key)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)) & (digest(text) == F.col(key)), "left_anti")

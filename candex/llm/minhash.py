@@ -68,13 +68,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
     xors, factors = odd_constants(SLOTS, 8), odd_constants(SLOTS, 9)
     for batch in batches:
         sizes, digests, signs = [], [], []
-        for shingles in _sets(batch.column(1).to_pylist(), k):
+        for shingles in _sets(batch.column(2).to_pylist(), k):
             sizes.append(len(shingles))
             digests.append(blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
             signs.append(signature(shingles, xors, factors))
         flat = pa.array(np.concatenate(signs)) if signs else pa.array([], pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1) * CHUNKS, pa.int32()), flat)
-        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "sig"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "mark", "n_shingles", "digest", "sig"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -174,6 +174,11 @@ def _missed_links(spokes: DataFrame, sets: DataFrame, named: DataFrame, percent:
     return filled.groupBy("task").applyInPandas(lambda f: _across(f, percent), "a long, b long")
 
 
+def _mark(text: str) -> Column:
+    """MD5 of a text, which tells apart rows that share an id; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Links documents whose sets of word runs have a Jaccard similarity of at least ``percent`` %.
 
@@ -183,10 +188,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     id are members but name a component only if it has no other id. Other columns are ignored. An empty table gives
     no rows. Written tables are small: signatures, the crowded keys, and the sets of documents in them.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, sig array<long>"
-    signed = pin(docs.mapInArrow(partial(_signatures, k=words), schema))
+    return _judged(docs, doc_id, text, words, percent).drop("mark")
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with the ``mark`` of their text."""
+    marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _mark(text).alias("mark"), F.col(text).alias("text"))
+    docs = marked.select("doc_id", "text")
+    schema = "doc_id long, mark binary, n_shingles long, digest binary, sig array<long>"
+    signed = pin(marked.mapInArrow(partial(_signatures, k=words), schema))
     classes = pin(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     placed = pin(signed.join(classes, "digest", "left"))
     reps = placed.where("doc_id = rep").select("rep", "n_shingles", "sig")
@@ -211,13 +221,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     final = named.select(F.col("node").alias("rep"), F.col("component").alias("top"))
     component = F.coalesce("top", "rep", "doc_id")
     return placed.join(final, "rep", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, with all their columns."""
-    found = near_duplicates(docs, doc_id, text, words, percent)
-    (name,) = unused(docs, "gone")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """The rows of ``docs`` that stand for their component, with all their columns; each row, also of a null or repeated
+    id, goes or stays by its own verdict, which hangs on its id and text."""
+    found = _judged(docs, doc_id, text, words, percent)
+    name, key = unused(docs, "gone", "key")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name), F.col("mark").alias(key)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)) & (_mark(text) == F.col(key)), "left_anti")

@@ -62,6 +62,19 @@ def test_exact_dedup_keeps_the_longest_then_the_first(spark, docs, clashing, not
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 6, 7, 8, 10, 11, 12, 13]
 
 
+#: Null and repeated ids: some rows copy another document, others have a text of their own.
+SHARED = [
+    (1, PROSE), (None, PROSE), (None, "a text without id that nothing else has"), (2, "copied text of some words"),
+    (5, "copied text of some words"), (5, "another text under the same id"),
+]
+SHARED_LEFT = sorted(SHARED[i][1] for i in (0, 2, 3, 5))
+
+
+def test_exact_copies_go_row_by_row(spark):
+    left = drop_copies(spark.createDataFrame(SHARED, "doc_id long, text string"), DigestIndex.open(spark))
+    assert sorted(r.text for r in left.collect()) == SHARED_LEFT
+
+
 def test_exact_index_lasts(spark, tmp_path):
     first = spark.createDataFrame([(7, "x y"), (8, "z")], "doc_id long, text string")
     second = spark.createDataFrame([(1, "x   y  "), (2, "new"), (3, "n e w")], "doc_id long, text string")
@@ -130,6 +143,11 @@ def test_near_dedup_edges(spark, docs, clashing, nothing):
     assert left.columns == clashing.columns and left.count() == len(ROWS) - 5
 
 
+def test_near_copies_go_row_by_row(spark):
+    left = minhash.drop_near_duplicates(spark.createDataFrame(SHARED, "doc_id long, text string"))
+    assert sorted(r.text for r in left.collect()) == SHARED_LEFT
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=32, max_size=32), st.sets(st.integers(0, 31), max_size=15))
 @settings(max_examples=60, deadline=None)
 def test_signatures_within_the_distance_share_a_chunk(values, changed):
