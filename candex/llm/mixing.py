@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candex.llm.frames import unused
 from candex.plans.limits import pin
 
 #: Schedules with the integrals 1, 2 and 3: one grows, one is even, one fades.
@@ -94,17 +93,22 @@ def plan_mixture(
     repeated rows lie side by side. Texts without words have size 0 and take nothing. A null source is one source, in
     last place. Other columns are ignored; an empty table gives no rows.
     """
+    placed = _laid_out(docs, doc_id, source, text, schedules, max_repeats)
+    first = F.try_element_at("positions", F.lit(1))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(partitions, first, "doc_id").sortWithinPartitions(first, "doc_id")
+
+
+def _laid_out(docs: DataFrame, doc_id: str, source: str, text: str, schedules, max_repeats: int, whole: bool = False) -> DataFrame:
+    """The rows of ``plan_mixture`` in any order; with ``whole``, the row of ``docs`` as a struct ``row`` besides."""
     mark = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = pin(
-        docs.select(
-            F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), mark.alias("mark")
-        )
-    )
-    spark = docs.sparkSession
+    names = [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), mark.alias("mark")]
+    rows = pin(docs.select(*names))
     bits = min(_MOST_BITS, max(0, math.ceil(math.log2(max(1, rows.count()) / _PER_BUCKET))))
     # Hash order is even: the leading bits of the mark cut every source into buckets of about the same share.
     lead = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("bucket", F.shiftright(lead, 32 - bits).cast("int"))
+    bucketed = lambda r: r.withColumn("bucket", F.shiftright(lead, 32 - bits).cast("int"))
+    rows = bucketed(rows)
     sums = pin(rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")))
     targets = pin(source_targets(sums.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), schedules, max_repeats))
     ahead = F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")
@@ -113,27 +117,24 @@ def plan_mixture(
     starts = pin(starts.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")).withColumnsRenamed({"source": "_source", "bucket": "_bucket"})
 
     within = W.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    # Whole rows are read again rather than written with their sizes.
+    rows = bucketed(docs.select(*names, F.struct("*").alias("row"))) if whole else rows
     placed = rows.withColumn("before", F.sum("size").over(within) - F.col("size"))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
     middle = F.col("ahead") + F.col("before") + F.col("size") / 2
     passes = F.array(*[middle + F.col("source_size") * F.lit(i) for i in range(max_repeats)])
     placed = placed.withColumn("passes", F.filter(passes, lambda m: m < F.col("target")))
     positions = F.transform("passes", lambda m: _position(m / F.col("target"), F.col("place"), schedules))
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("passes")).alias("taken"), positions.alias("positions"))
-    first = F.try_element_at("positions", F.lit(1))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(partitions, first, "doc_id").sortWithinPartitions(first, "doc_id")
+    taken = (F.col("size") * F.size("passes")).alias("taken")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken, positions.alias("positions"), *["row"] * whole)
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", schedules=CURRICULUM, max_repeats: int = 3) -> DataFrame:
     """The documents the mix takes, with all their columns, once per take and range-sorted by training position.
 
-    Rows that share an id get the takes of the one that is laid out first.
+    Every row has its own takes, also if it shares its id.
     """
-    plan = plan_mixture(docs, doc_id, source, text, schedules, max_repeats)
-    own, positions, at = unused(docs, "own", "positions", "at")
-    takes = plan.select(F.col("doc_id").alias(own), F.col("positions").alias(positions)).groupBy(own).agg(F.min(positions).alias(positions))
-    rows = docs.join(takes, F.col(doc_id).cast("long").eqNullSafe(F.col(own)))
-    rows = rows.withColumn(at, F.explode(positions)).drop(own, positions)
+    rows = _laid_out(docs, doc_id, source, text, schedules, max_repeats, whole=True)
+    rows = rows.select("doc_id", "row", F.explode("positions").alias("at"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(partitions, at, doc_id).sortWithinPartitions(at, doc_id).drop(at)
+    return rows.repartitionByRange(partitions, "at", "doc_id").sortWithinPartitions("at", "doc_id").select("row.*")

@@ -241,6 +241,19 @@ def test_mixture_edges(spark, docs, clashing, nothing):
     assert Counter(r.doc_id for r in mixed.select("doc_id").collect()) == Counter({i: n for i, n in plan.items() if n})
 
 
+def test_rows_that_share_an_id_have_their_own_takes(spark):
+    # All null ids lie at one place of each line; the large source is taken to half of its words only.
+    docs = [(i if i % 2 else None, " ".join(["w"] * (3 + i % 5)), "abc"[max(0, i - 158) % 3 if i >= 158 else 0]) for i in range(200)]
+    docs += [(7, "seven words lie in another source too", "b"), (7, "w", "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    plan, taken = Counter(), Counter()
+    for r in mixing.plan_mixture(df).collect():
+        plan[r.doc_id, r.source, r.size] += len(r.positions)
+    for r in mixing.mixed(df).collect():
+        taken[r.doc_id, r.source, len(r.text.split())] += 1
+    assert +plan == taken and any(i is None for i, _, _ in taken)
+
+
 # Packing
 
 
