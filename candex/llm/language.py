@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candex.plans.limits import pin
@@ -26,6 +27,8 @@ _CACHED = 250_000
 _BATCH = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TINY, _LIFT = 1e-120, 1e120
+#: Longer words are learned in consecutive parts: sums over segmentations of a part need no scaling.
+_PART = 23
 
 
 def public_vocabulary() -> str:
@@ -254,23 +257,25 @@ def fit_languages(
     docs: DataFrame, trained_on: Column | None = None, text: str = "text", lang: str = "lang",
     vocabulary: str | None = None, sample_docs: int = 6000, rounds: int = 2, smooth: float = 0.05,
 ) -> LanguageModel:
-    """Fits piece probabilities on at most about ``sample_docs`` labelled rows with ``trained_on``.
+    """Fits piece probabilities on at most ``sample_docs`` different texts of each language with ``trained_on``.
 
-    The sample is the rows whose hash of the text is smallest, so it is the same in every run; rows without text or
-    label are left out, equal hashes at the end of the sample all count. Words are counted in Spark, of words of up to
-    23 characters, and each round of expectation maximisation is a pass over these counts; only the tables of pieces,
+    The sample of a language is the texts whose hash is smallest, each once however often it is copied, so it is the
+    same in every run and no language is missing for being rare; rows without text or label are left out. Words are
+    counted in Spark, those of more than 23 characters in consecutive parts, and each round of expectation maximisation is a pass over these counts; only the tables of pieces,
     languages x vocabulary, come to the driver. No labelled rows: a model that knows no language.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    rows = (rows if trained_on is None else rows.where(trained_on)).select(lang, text, F.xxhash64(text).alias("h"))
-    cut = rows.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = (rows if trained_on is None else rows.where(trained_on)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = pin(rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= sample_docs).drop("place"))
     pieces = read_pieces(vocabulary or public_vocabulary())
-    if cut is None:
+    if chosen.isEmpty():
         return LanguageModel(pieces, [], np.zeros((len(pieces) + 2, 0)))
-    counted = rows.where(F.col("h") <= cut).select(lang, text).mapInArrow(_count_words, "lang string, word string, n long")
-    counted = pin(
-        counted.where("word <> '' AND char_length(word) < 24").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    )
+    # Rows with one hash and label have one text.
+    texts = rows.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+    counted = texts.mapInArrow(_count_words, "lang string, word string, n long").where("word <> ''")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("word") - 1) / _PART)), lambda i: F.substring(F.col("word"), i * _PART + 1, F.lit(_PART)))
+    counted = pin(counted.select("lang", F.explode(parts).alias("word"), "n").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
     # Merges of a vocabulary come in the order of their frequency.
     first = 1 / np.arange(10, len(pieces) + 10)

@@ -185,6 +185,17 @@ def test_language_edges(spark, docs, clashing, nothing):
     assert {r.lang_pred for r in language.predict_language(docs, empty, ["doc_id"]).collect()} == {"und"}
 
 
+def test_languages_without_spaces_and_rare_ones_are_learned(spark):
+    rng = np.random.default_rng(4)
+    line = lambda letters: "".join(rng.choice(list(letters), 60))
+    made = [(line("日本語文字漢学校"), "xx") for _ in range(4)] + [(line("กขคงจฉชซ"), "yy") for _ in range(4)]
+    made += [(PROSE, "en")] * 50 + [(f"{PROSE} {i}", "en") for i in range(40)]
+    model = language.fit_languages(spark.createDataFrame(made, "text string, lang string"), sample_docs=3)
+    assert model.languages == ["en", "xx", "yy"]
+    asked = spark.createDataFrame([(line("日本語文字漢学校"), "xx"), (line("กขคงจฉชซ"), "yy"), (PROSE, "en")], "text string, lang string")
+    assert all(r.lang == r.lang_pred for r in language.predict_language(asked, model, ["lang"]).collect())
+
+
 def brute_likelihood(word, prob):
     text, sums = "▁" + word, [1.0] + [0.0] * (len(word) + 1)
     for end in range(1, len(text) + 1):
