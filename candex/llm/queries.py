@@ -12,9 +12,12 @@ from candex.llm.minhash import near_duplicates
 from candex.llm.mixing import plan_mixture, word_count
 from candex.llm.ngrams import fit_bigrams, held_out, score_texts
 from candex.llm.packing import pack
+from candex.llm.phrases import collocations
+from candex.llm.secrets import find_secrets, listed
 from candex.llm.tokens import read_tokens, write_tokens
 from candex.llm.urls import UrlRules, judge_urls
 from candex.llm.vectors import near_vectors
+from candex.llm.whitening import whiten
 from candex.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -160,3 +163,43 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token ids, written to files and read back."""
     files = write_tokens(load_table(spark, folder, "documents"))
     return read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op11_jacobi_davidson")
+def jacobi_davidson(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors whitened along the 32 leading eigenvectors of their covariance."""
+    return whiten(load_table(spark, folder, "embeddings"))
+
+
+@query("op12_secret_scan")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Assignments, access keys, hexadecimal strings and random strings in all documents."""
+    found = find_secrets(load_table(spark, folder, "documents"), ["doc_id"])
+    base = ("assign", "access", "hex")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, base), F.sha2(listed("spans", base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query("op13_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+    FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS pos FROM p),
+g AS (SELECT lang, ws[pos : pos + k - 1] AS gram, k FROM i, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE pos + k - 1 <= len(ws)),
+f AS MATERIALIZED (SELECT lang, gram, k, count(*) AS f FROM g GROUP BY lang, gram, k HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+u AS MATERIALIZED (SELECT lang, gram, k, f AS a, cut, gram[1 : cut] AS lg, gram[cut + 1 : k] AS rg
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1)),
+x AS (SELECT u.*, n.n, l.f AS l, r.f AS r, CAST(1000 * a::HUGEINT * n.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM u JOIN n ON u.lang = n.lang JOIN f l ON l.lang = u.lang AND l.gram = u.lg JOIN f r ON r.lang = u.lang AND r.gram = u.rg),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
+o AS (SELECT lang, lg AS gram, max(a) AS more FROM u WHERE cut = k - 1 GROUP BY ALL
+    UNION ALL SELECT lang, rg, max(a) FROM u WHERE cut = 1 GROUP BY ALL),
+m AS (SELECT lang, gram, max(more) AS more FROM o GROUP BY ALL),
+s AS (SELECT b.*, array_to_string(b.gram, ' ') AS phrase FROM b LEFT JOIN m ON b.lang = m.lang AND b.gram = m.gram
+    WHERE coalesce(100 * more < 100 * a, true))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s
+QUALIFY rank <= 2000""")
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 phrases of each language that hold together best."""
+    return collocations(load_table(spark, folder, "documents"))
