@@ -41,7 +41,7 @@ class Automaton:
         at, parts = _HEAD.size, []
         for kind, n in (("<u8", arcs), ("<i8", arcs), ("<i8", sequences), ("<u4", arcs)):
             size = n * np.dtype(kind).itemsize
-            parts.append(data[at : at + size].view(kind))
+            parts.append(np.asarray(data[at : at + size]).view(kind))
             at += size
         keys, before, weights, targets = parts
         return Automaton(length, root, keys, targets, before, weights)
@@ -163,12 +163,36 @@ def build(rows: np.ndarray, weights: np.ndarray) -> Automaton:
     return builder.build()
 
 
+def _packed(rows: np.ndarray) -> list[np.ndarray]:
+    """The columns of rows, two of them in each number, the first columns last as ``lexsort`` wants them."""
+    wide = rows.astype(np.uint64)
+    if wide.shape[1] % 2:
+        wide = np.column_stack([np.zeros(len(wide), np.uint64), wide])
+    return [wide[:, j] << np.uint64(32) | wide[:, j + 1] for j in range(wide.shape[1] - 2, -1, -2)]
+
+
+def counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, with how often each comes."""
+    if rows.shape[1] > 2 or not len(rows):
+        return summed(rows, np.ones(len(rows), np.int64))
+    keys, counts = np.unique(_packed(rows)[0], return_counts=True)
+    columns = [keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)][2 - rows.shape[1] :]
+    return np.column_stack(columns).astype(rows.dtype), counts
+
+
 def summed(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows in order, with the sums of their weights."""
-    order = np.lexsort(rows.T[::-1])
-    rows, weights = rows[order], weights[order]
-    starts = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
-    return rows[starts], np.add.reduceat(weights, starts)
+    """The distinct rows in order, with the sums of their weights. Labels are below 2^32."""
+    if not len(rows):
+        return rows, weights
+    keys = _packed(rows)
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.ones(len(rows), bool)
+    new[1:] = False
+    for key in keys:
+        ahead = key[order]
+        new[1:] |= ahead[1:] != ahead[:-1]
+    starts = np.flatnonzero(new)
+    return rows[order[starts]], np.add.reduceat(weights[order], starts)
 
 
 def union(automata: list[Automaton]) -> tuple[np.ndarray, np.ndarray]:

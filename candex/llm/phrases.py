@@ -4,8 +4,9 @@ Words that are frequent enough get numbers and are kept in files sorted by hash.
 gaps where a piece ends or a word is rare: no frequent phrase crosses a gap. Phrases are counted length by length, and one
 more word is only added where both shorter phrases in it are frequent, which loses none. Every task counts its part, sorts
 it, and builds automata of it, one for each range of prefixes; the automata of a range are united, weights summed, and what
-is frequent is written as the automaton of the range. Later passes map these files: the next length to see which places
-go on, and the last pass to look up the parts of every phrase.
+is frequent is written as the automaton of the range. What no longer phrase can lie in is cut from the rows of numbers.
+Later passes map these files: the next length to see which places go on, and the last pass to look up the parts of every
+phrase.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candex.llm.arrays import mapped, writing
-from candex.llm.automata import Automaton, build, summed, union
+from candex.llm.automata import Automaton, build, counted, summed, union
 from candex.plans.limits import pin, scratch_path
 
 #: Bytes of text taken apart at once; distinct phrases a task holds before it builds automata of them.
@@ -140,13 +141,13 @@ class Phrases:
     lengths: tuple[tuple[tuple[int, ...], tuple[int, ...]], ...] = ()
 
     def array(self, name: str, i: int) -> np.ndarray:
-        return mapped(f"{self.path}/words-{name}-{self.shards[i]:06d}", _WORD_ARRAYS[name])
+        return _mapped_words(f"{self.path}/words-{name}-{self.shards[i]:06d}", _WORD_ARRAYS[name])
 
     def _of_shards(self, name: str, ids: np.ndarray) -> np.ndarray:
         shard = np.searchsorted(self.first_ids, ids, "right") - 1
         out = np.empty(len(ids), np.int64)
-        for i in np.unique(shard):
-            own = shard == i
+        for i in np.flatnonzero(np.bincount(shard, minlength=1)).tolist():
+            own = np.flatnonzero(shard == i)
             out[own] = self.array(name, i)[ids[own] - self.first_ids[i]]
             if name == "before":
                 out[own] += self.before[i]
@@ -175,7 +176,7 @@ class Phrases:
         firsts = np.array(self.first_keys, np.uint64)
         # Equal keys can only be found in shards that follow each other, as the words are sorted by key.
         shard = np.maximum(np.searchsorted(firsts, keys, "left") - 1, 0)
-        for i in np.unique(shard):
+        for i in np.flatnonzero(np.bincount(shard, minlength=1)).tolist():
             own = np.flatnonzero(shard == i)
             for j in range(i, len(self.shards)):
                 if not len(own) or j > i and self.first_keys[j] > int(keys[own].max()):
@@ -215,10 +216,10 @@ class Phrases:
         if not len(rows) or not ranges:
             return out
         which = self.range_of(rows[:, 0], rows[:, 1])
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.array([*ranges, ranges[-1] + 1]))
+        order = np.argsort(which.astype(np.uint16) if self.ranges < 1 << 16 else which, kind="stable")
+        which = which[order]
         for i, r in enumerate(ranges):
-            own = order[cuts[i] : np.searchsorted(which[order], r, "right")]
+            own = order[np.searchsorted(which, r, "left") : np.searchsorted(which, r, "right")]
             if len(own):
                 place = self.automaton(length, r).places(rows[own])
                 out[own] = np.where(place < 0, -1, place + before[i])
@@ -228,12 +229,17 @@ class Phrases:
         ranges, before = self.lengths[length - 2]
         which = np.searchsorted(before, places, "right") - 1
         out = np.empty(len(places), np.int64)
-        for i in np.unique(which):
-            own = which == i
+        for i in np.flatnonzero(np.bincount(which, minlength=1)).tolist():
+            own = np.flatnonzero(which == i)
             out[own] = self.automaton(length, ranges[i]).weights[places[own] - before[i]]
         return out
 
 
+@lru_cache(maxsize=4096)
+def _mapped_words(path: str, kind) -> np.ndarray:
+    return np.asarray(mapped(path, kind))
+
+
 @lru_cache(maxsize=4096)
 def _mapped_automaton(path: str) -> Automaton:
     return Automaton.of(mapped(path, np.uint8))
@@ -285,29 +291,42 @@ def _number_texts(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterat
 
 
 def _candidates(ids: np.ndarray, length: int, phrases: Phrases) -> np.ndarray:
-    """The phrases of ``length`` words both of whose shorter ones are frequent, one row for each occurrence."""
-    windows = np.lib.stride_tricks.sliding_window_view(ids, length) if len(ids) >= length else np.zeros((0, length), ids.dtype)
-    whole = np.ones(len(windows), bool)
+    """Where phrases of ``length`` words begin both of whose shorter ones are frequent."""
+    whole = np.ones(max(0, len(ids) - length + 1), bool)
     for step in range(length):
-        whole &= ids[step : step + len(windows)] >= 0
+        whole &= ids[step : step + len(whole)] >= 0
     at = np.flatnonzero(whole)
-    if length == 2:
-        return windows[at]
-    # Both shorter phrases of a window, each place looked up once.
-    needed = np.unique(np.concatenate([at, at + 1]))
+    if length == 2 or not len(at):
+        return at
+    needed = np.zeros(len(ids) + 1, bool)
+    needed[at] = needed[at + 1] = True
+    needed = np.flatnonzero(needed)
     shorter = np.lib.stride_tricks.sliding_window_view(ids, length - 1)[needed]
-    good = np.zeros(len(ids) + 1, bool)
-    good[needed] = phrases.places(shorter) >= 0
-    return windows[at[good[at] & good[at + 1]]]
+    frequent = np.zeros(len(ids) + 1, bool)
+    if length == 3:
+        # All places are still to be looked at, each distinct pair of words once.
+        pairs, which = np.unique(shorter[:, 0].astype(np.int64) << 32 | shorter[:, 1], return_inverse=True)
+        frequent[needed] = (phrases.places(np.column_stack([pairs >> 32, pairs & 0xFFFFFFFF])) >= 0)[which]
+    else:
+        frequent[needed] = phrases.places(shorter) >= 0
+    return at[frequent[at] & frequent[at + 1]]
 
 
-def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return summed(rows, np.ones(len(rows), np.int64)) if len(rows) else (rows, np.zeros(0, np.int64))
+def _covered(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The numbers that the phrases beginning ``at`` cover, with a gap wherever others were."""
+    cover = np.zeros(len(ids) + 1, np.int32)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + length, -1)
+    inside = np.cumsum(cover[:-1]) > 0
+    return np.where(inside, ids, -1)[inside | np.append(True, inside[:-1])]
 
 
 def _shard_automata(batches: Iterator[pa.RecordBatch], length: int, phrases: Phrases) -> Iterator[pa.RecordBatch]:
-    """A task's phrases, sorted and counted, as automata, one for each range of prefixes."""
+    """A task's phrases, sorted and counted, as automata, one for each range of prefixes; and, in rows of their own, the
+    numbers that are left for longer phrases."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    names = ["range", "automaton", "ids"]
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()))
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows, counts = summed(np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held]))
@@ -316,21 +335,23 @@ def _shard_automata(batches: Iterator[pa.RecordBatch], length: int, phrases: Phr
         starts = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
         for start, end in zip(starts, [*starts[1:], len(rows)], strict=True):
             made = build(rows[start:end].astype(np.int64), counts[start:end]).to_bytes()
-            yield pa.record_batch([pa.array([which[start]], pa.int64()), pa.array([made], pa.binary())], ["range", "automaton"])
+            yield pa.record_batch([pa.array([x], k) for x, k in zip((which[start], made, None), kinds, strict=True)], names)
 
     for batch in batches:
         lists = batch.column(0)
-        for at in range(0, len(lists), 4):
-            part = lists.slice(at, 4)
-            ids = part.flatten().to_numpy(zero_copy_only=False)
-            # Rows follow each other without words in common: each ends with a gap.
-            rows, counts = _distinct(_candidates(ids, length, phrases))
-            if len(rows):
-                held.append((rows, counts))
+        for low in range(0, len(lists), 4):
+            # Rows follow each other without phrases in common: each ends with a gap.
+            ids = lists.slice(low, 4).flatten().to_numpy(zero_copy_only=False)
+            at = _candidates(ids, length, phrases)
+            if not len(at):
+                continue
+            if length > 2:
+                left = _covered(ids, at, length).astype(np.int32)
+                yield pa.record_batch([pa.array([x], k) for x, k in zip((None, None, left), kinds, strict=True)], names)
+            held.append(counted(np.lib.stride_tricks.sliding_window_view(ids, length)[at]))
             if sum(len(c) for _, c in held) > HELD:
-                rows, counts = summed(np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held]))
-                held[:] = [(rows, counts)]
-                if len(rows) > HELD // 2:
+                held[:] = [summed(np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held]))]
+                if len(held[0][1]) > HELD // 2:
                     yield from flush()
     if held:
         yield from flush()
@@ -348,14 +369,18 @@ def _unite(key: tuple, table: pa.Table, length: int, phrases: Phrases) -> pa.Tab
     return pa.table({"range": pa.array([which], pa.int64()), "n": pa.array([n], pa.int64())})
 
 
-def count_length(texts: DataFrame, length: int, phrases: Phrases) -> Phrases:
-    """``phrases`` with the frequent ones of ``length`` words."""
-    parts = texts.mapInArrow(partial(_shard_automata, length=length, phrases=phrases), "range long, automaton binary")
-    united = parts.groupBy("range").applyInArrow(lambda key, table: _unite(key, table, length, phrases), "range long, n long")
-    found = sorted((r["range"], r.n) for r in pin(united).where("n > 0").collect())  # a row per range
-    before = np.cumsum([0, *(n for _, n in found)])[:-1]
-    mine = (tuple(r for r, _ in found), tuple(int(b) for b in before))
-    return Phrases(**{**vars(phrases), "lengths": (*phrases.lengths, mine)})
+def count_length(texts: DataFrame, length: int, phrases: Phrases) -> tuple[Phrases, DataFrame]:
+    """``phrases`` with the frequent ones of ``length`` words, and what of the texts longer ones can lie in."""
+    parts = texts.mapInArrow(partial(_shard_automata, length=length, phrases=phrases), "range long, automaton binary, ids array<int>")
+    if length > 2:
+        parts = pin(parts)
+        texts = parts.where("ids IS NOT NULL").select("ids")
+    united = parts.where("automaton IS NOT NULL").select("range", "automaton").groupBy("range")
+    found = pin(united.applyInArrow(lambda key, table: _unite(key, table, length, phrases), "range long, n long"))
+    ranges = sorted((r["range"], r.n) for r in found.where("n > 0").collect())  # a row per range
+    before = np.cumsum([0, *(n for _, n in ranges)])[:-1]
+    mine = (tuple(r for r, _ in ranges), tuple(int(b) for b in before))
+    return Phrases(**{**vars(phrases), "lengths": (*phrases.lengths, mine)}), texts
 
 
 _FOUND = "lang string, phrase string, length int, place long, a long, l long, r long, n long, score long, inside array<long>"
@@ -427,7 +452,7 @@ def collocations(
     texts = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     texts = pin(texts.mapInArrow(partial(_number_texts, phrases=phrases), "ids array<int>"))
     for length in range(2, longest + 1):
-        phrases = count_length(texts, length, phrases)
+        phrases, texts = count_length(texts, length, phrases)
         if not phrases.lengths[-1][0]:
             break
     found = None
