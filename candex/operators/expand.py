@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candex.functions.numbers import _c
+from candex.plans import limits
 from candex.plans.joins import explode_range
-from candex.plans.ordered import group_count, ordered, position, previous_value, running_count, running_sum
+from candex.plans.ordered import group_count, join_on, next_value, ordered, position, previous_value, running_count, running_sum
 
 
 def rle_expand(
@@ -43,14 +44,55 @@ def rle_encode(df: DataFrame, keys: list[str], order: list[str], v: str, group_r
     )
 
 
-def paint_last(df: DataFrame, keys: list[str], start: str, stop: str, draw_no: str, value: str) -> DataFrame:
+def _dyadic(start: str, stop: str) -> Column:
+    """The nodes ``level, place`` (cells ``[place, place + 1) * 2^level``) that an interval is made of, at most two a level."""
+    length = F.col(stop) - F.col(start)
+    levels = F.sequence(F.lit(0), F.length(F.bin(length)) - 1)
+
+    def at_level(j: Column) -> Column:
+        low = -F.call_function("shiftright", -F.col(start), j)
+        high = F.call_function("shiftright", F.col(stop), j)
+        node = lambda place, taken: F.when(taken & (low < high), F.struct(j.alias("level"), place.alias("place")))
+        return F.array(node(low, low.bitwiseAND(F.lit(1)) == 1), node(high - 1, high.bitwiseAND(F.lit(1)) == 1))
+
+    return F.filter(F.flatten(F.transform(levels, at_level)), lambda node: node.isNotNull())
+
+
+def paint_runs(df: DataFrame, keys: list[str], start: str, stop: str, draw_no: str, value: str, group_rows=None) -> DataFrame:
+    """What is seen of ``[start, stop)`` intervals drawn over each other, as maximal runs: ``keys, start, stop, value``.
+
+    ``draw_no`` is unique per ``keys``; the greatest one is on top. Null bounds and empty intervals draw nothing; a null
+    value is drawn like others. Intervals are put together from dyadic nodes, at most two of each size, of which every node
+    keeps its last drawing. Between two neighbouring bounds nothing changes, so each stretch between bounds looks at the
+    nodes above its first cell. An interval costs rows in proportion to the logarithm of its length.
+    """
+    drawn = df.where(F.col(start) < F.col(stop)).select(
+        *keys, F.col(start).cast("long").alias("_a"), F.col(stop).cast("long").alias("_b"), F.struct(F.col(draw_no).alias("no"), F.col(value).alias("v")).alias("_d")
+    )
+    nodes = drawn.select(*keys, "_d", F.inline(_dyadic("_a", "_b")))
+    nodes = limits.pin(nodes.groupBy(*keys, "level", "place").agg(F.max_by("_d", "_d.no").alias("_d")))
+    levels = [r[0] for r in nodes.select("level").distinct().collect()]  # at most 63
+    bounds = drawn.select(*keys, F.explode(F.array("_a", "_b")).alias("_a")).distinct()
+    stretches = ordered(bounds, keys, ["_a"], group_rows).scan(_b=next_value("_a")).rows().where(F.col("_b").isNotNull())
+    above = F.array(*[F.struct(F.lit(j).alias("level"), F.shiftright("_a", j).alias("place")) for j in sorted(levels)])
+    if not levels:
+        above = F.array().cast("array<struct<level:int,place:bigint>>")
+    seen = join_on(stretches.select(*keys, "_a", "_b", F.inline(above)), nodes, [*keys, "level", "place"])
+    top = seen.groupBy(*keys, "_a", "_b").agg(F.max_by("_d", "_d.no").alias("_d"))
+    before = ordered(top, keys, ["_a"], group_rows).scan(_before=previous_value(F.struct("_b", "_d.v")))
+    opens = F.col("_before").isNull() | (F.col("_before._b") != F.col("_a")) | ~F.col("_before.v").eqNullSafe(F.col("_d.v"))
+    runs = before.scan(_run=running_count(opens)).rows()
+    return runs.groupBy(*keys, "_run").agg(F.min("_a").alias("start"), F.max("_b").alias("stop"), F.first("_d.v").alias("value")).drop("_run")
+
+
+def paint_last(df: DataFrame, keys: list[str], start: str, stop: str, draw_no: str, value: str, group_rows=None) -> DataFrame:
     """Cells covered by ``[start, stop)`` intervals show the last drawn: ``keys, cell, value``.
 
-    ``draw_no`` is unique per ``keys``.
-    Cells are reduced on the map side, so overlapping intervals of a hot group meet already partly merged.
+    ``draw_no`` is unique per ``keys``. The runs of ``paint_runs``, cell by cell: a cell is written once, however many
+    intervals cover it.
     """
-    cells = explode_range(df.select(*keys, start, stop, draw_no, value), F.col(start), F.col(stop), "cell")
-    return cells.groupBy(*keys, "cell").agg(F.max_by(value, draw_no).alias("value"))
+    runs = paint_runs(df, keys, start, stop, draw_no, value, group_rows)
+    return explode_range(runs, F.col("start"), F.col("stop"), "cell").select(*keys, "cell", "value")
 
 
 def nested_flatten(df: DataFrame, path: list[str], keep: list[str]) -> DataFrame:

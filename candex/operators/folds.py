@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +116,8 @@ def layer_fold(
     """Ordered alpha compositing per group, from a transparent start; ``layers`` counts all layers of a group.
 
     With ``max_layers`` only the first layers of a group are drawn and counted. An opaque layer hides all before it, so
-    only what follows a group's last one is gathered. Longer stacks are folded ``fold_rows`` layers at a time, each
-    step going on from the value of the one before.
+    only what follows a group's last one is gathered. Stacks above ``fold_rows`` layers are cut into chunks that are folded
+    in parallel, as maps of what lies below them; their values must lie within 0..255.
     """
     drawn = df if max_layers is None else first_rows(df, keys, order, max_layers)
     fold_rows = fold_rows or limits.limit(df.sparkSession, "foldRows")
@@ -128,31 +130,123 @@ def layer_fold(
     groups = limits.pin(groups.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "layers", "_from"))
     seen = rows.join(groups, match).where(F.col("_at") >= F.col("_from"))
     seen = seen.select(*keys, "layers", (F.col("_at") - F.col("_from")).alias("_at"), "_v")
-    steps = groups.agg(F.max(int_div(F.col("layers") - F.col("_from"), fold_rows))).first()[0] or 0
-    if steps:
-        seen = limits.pin(seen)
+    tall = F.col("layers") - F.col("_from") >= fold_rows
     clear = F.struct(*[F.lit(0).cast("long").alias(c) for c in [*channels, alpha]])
-    out = None
-    for step in range(steps + 1):
-        part = seen.where(int_div(F.col("_at"), fold_rows) == step)
-        stack = F.array_sort(F.collect_list(F.struct("_at", "_v")))
-        part = part.groupBy(*keys).agg(stack.alias("_stack"), F.max("layers").alias("layers"))
-        start = clear
-        if out is not None:
-            before = out.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_f").alias("_start"))
-            part = part.join(before, match)
-            start = F.col("_start")
-        flat = F.aggregate("_stack", start, lambda acc, x: over(acc, x["_v"], channels, alpha))
-        folded = part.select(*keys, "layers", flat.alias("_f"))
-        if out is None:
-            out = folded
-        else:
-            folded = limits.pin(folded)
-            done = folded.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
-            out = out.join(done, match, "left_anti").unionByName(folded)
-        if step < steps:
-            out = limits.pin(out)
-    return out.select(*keys, "layers", "_f.*")
+    flat = F.aggregate("_stack", clear, lambda acc, x: over(acc, x["_v"], channels, alpha))
+    stack = F.array_sort(F.collect_list(F.struct("_at", "_v")))
+    large = groups.where(tall)
+    if large.isEmpty():
+        out = seen.groupBy(*keys).agg(stack.alias("_stack"), F.max("layers").alias("layers"))
+        return out.select(*keys, "layers", flat.alias("_f")).select(*keys, "layers", "_f.*")
+    small = (seen.join(large.select(*names), match, "left_anti") if keys else seen.where(F.lit(False))).groupBy(*keys).agg(stack.alias("_stack"), F.max("layers").alias("layers"))
+    out = small.select(*keys, "layers", flat.alias("_f")).select(*keys, "layers", "_f.*")
+    large = limits.pin(large.select(*names, "layers", F.monotonically_increasing_id().alias("_g")))
+    parts = seen.drop("layers").join(large.drop("layers"), match).select(
+        "_g", int_div(F.col("_at"), fold_rows).alias("_chunk"), (F.col("_at") % fold_rows).alias("_at"), "_v.*"
+    )
+    folded = _table_fold(limits.pin(parts), channels, alpha)
+    folded = large.join(folded, "_g").select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "layers", *channels, alpha)
+    return out.unionByName(folded) if keys else folded
+
+
+def _checked(frame: pd.DataFrame, columns: list[str]) -> list[np.ndarray]:
+    """The columns of a chunk in order as whole numbers from 0 to 255."""
+    frame = frame.sort_values("_at")
+    found = []
+    for name in columns:
+        values = frame[name]
+        if values.isna().any() or not values.between(0, 255).all():
+            raise ValueError(f"{name} of a long stack is null or not within 0..255")
+        found.append(values.to_numpy(np.int64))
+    return found
+
+
+def _composed(maps: np.ndarray) -> np.ndarray:
+    """The maps of 0..255, one in each row, one after the other as one map; neighbours are joined in rounds."""
+    while len(maps) > 1:
+        odd = maps[-1:] if len(maps) % 2 else maps[:0]
+        pairs = maps[: len(maps) // 2 * 2]
+        maps = np.concatenate([np.take_along_axis(pairs[1::2], pairs[::2].astype(np.intp), axis=1), odd])
+    return maps[0]
+
+
+#: Layers whose maps are held at once.
+_MAPS = 4096
+
+
+def _chunk_map(size: int, maps) -> np.ndarray:
+    """The map of a whole chunk, from ``maps(low, high)`` for parts of its layers."""
+    return _composed(np.stack([_composed(maps(low, min(low + _MAPS, size))) for low in range(0, size, _MAPS)]))
+
+
+_UNDER = np.arange(256)[None, :]
+
+
+def _alpha_chunk(frame: pd.DataFrame, alpha: str) -> bytes:
+    """What a chunk makes of each alpha below it."""
+    (tops,) = _checked(frame, [alpha])
+
+    def maps(low: int, high: int) -> np.ndarray:
+        ta = tops[low:high, None]
+        return np.where(ta == 255, 255, np.where(_UNDER == 0, ta, ta + _UNDER * (255 - ta) // 255)).astype(np.uint8)
+
+    return _chunk_map(len(tops), maps).tobytes()
+
+
+def _channel_chunk(frame: pd.DataFrame, channels: list[str], alpha: str, below: int) -> list[bytes]:
+    """What a chunk on an alpha of ``below`` makes of each value of each channel below it."""
+    *values, tops = _checked(frame, [*channels, alpha])
+    under = np.empty(len(tops), np.int64)
+    for i, ta in enumerate(tops.tolist()):
+        under[i] = below
+        below = ta if ta == 255 or below == 0 else ta + below * (255 - ta) // 255
+    found = []
+    for value in values:
+
+        def maps(low: int, high: int, value=value) -> np.ndarray:
+            v, ta, ua = value[low:high, None], tops[low:high, None], under[low:high, None]
+            rest = ua * (255 - ta) // 255
+            mixed = (v * ta + _UNDER * rest + (ta + rest) // 2) // np.maximum(ta + rest, 1)
+            return np.where((ta == 255) | (ua == 0), v, mixed).astype(np.uint8)
+
+        found.append(_chunk_map(len(tops), maps).tobytes())
+    return found
+
+
+def _table_fold(parts: DataFrame, channels: list[str], alpha: str) -> DataFrame:
+    """Folds long stacks by composition: a layer maps what lies below, 0 to 255, to 0 to 255, and so do many layers.
+
+    Alpha depends on no channel, so the alpha maps of all chunks come first and tell the alpha that each chunk lies on; with
+    it known, a chunk is one map for each channel. Chunks are independent, and a group only walks its chunks' maps.
+    """
+    def alphas(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_g": [key[0]], "_chunk": [key[1]], "_map": [_alpha_chunk(frame, alpha)]})
+
+    def walked(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, below, found = frame.sort_values("_chunk"), 0, []
+        for table in frame["_map"]:
+            found.append(below)
+            below = table[below]
+        return pd.DataFrame({"_g": frame["_g"], "_chunk": frame["_chunk"], "_below": found, "_after": below})
+
+    def values(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        maps = _channel_chunk(frame, channels, alpha, int(frame["_below"].iloc[0]))
+        return pd.DataFrame([(key[0], key[1], frame["_after"].iloc[0], *maps)], columns=["_g", "_chunk", "_after", *channels])
+
+    def ended(frame: pd.DataFrame) -> pd.DataFrame:
+        out = {"_g": frame["_g"].iloc[:1]}
+        for c in channels:
+            value = 0
+            for table in frame.sort_values("_chunk")[c]:
+                value = table[value]
+            out[c] = [value]
+        return pd.DataFrame(out | {alpha: frame["_after"].iloc[:1]})
+
+    maps = parts.groupBy("_g", "_chunk").applyInPandas(alphas, "_g long, _chunk long, _map binary")
+    below = limits.pin(maps.groupBy("_g").applyInPandas(walked, "_g long, _chunk long, _below long, _after long"))
+    typed = ", ".join(f"`{c}` binary" for c in channels)
+    tables = parts.join(below, ["_g", "_chunk"]).groupBy("_g", "_chunk").applyInPandas(values, f"_g long, _chunk long, _after long, {typed}")
+    return tables.groupBy("_g").applyInPandas(ended, "_g long, " + ", ".join(f"`{c}` long" for c in [*channels, alpha]))
 
 
 def blend(under, top, a) -> Column:

@@ -65,12 +65,13 @@ def lookup_path(
 
 
 def follow_links(
-    nodes: DataFrame, links: DataFrame, node: str, terminal: str, ordinal: str, target: str, max_depth: int = 4,
-    max_links: int | None = None,
+    nodes: DataFrame, links: DataFrame, node: str, terminal: str, ordinal: str, target: str, max_depth: int | None = None,
+    max_links: int | None = None, given_up: bool = False,
 ) -> DataFrame:
-    """The terminal each node leads to: its own, or the first one found by trying its links in listed order, at
-    most ``max_depth`` links deep; a path never meets a node twice. With ``max_links`` only the first links of a node
-    are its links. Columns ``node, found, hops``.
+    """The terminal each node leads to: its own, or the first one found by trying its links in listed order; a path never
+    meets a node twice. With ``max_depth`` at most so many links deep, with ``max_links`` only the first links of a node are
+    its links. Columns ``node, found, hops``. Nodes that lead nowhere are left out; with ``given_up``, those for which the
+    depth ended the search come with nulls.
 
     Paths are compared by their link numbers, so the smallest one is what a depth-first search meets first. A
     node is reached again from the same start only by a smaller path, and nothing beyond a start's best find
@@ -89,7 +90,9 @@ def follow_links(
     reached = front.select("_from", "_at", "_path")
     edges = links.select(F.col(node).alias("_at"), F.col(ordinal).cast("int").alias("_o"), F.col(target).alias("_to"))
     edges = limits.pin(edges if max_links is None else first_rows(edges, ["_at"], ["_o"], max_links))
-    for _ in range(max_depth):
+    depth, cut = 0, None
+    while max_depth is None or depth < max_depth + given_up:
+        depth += 1
         step = front.join(edges, "_at").where(~F.array_contains("_seen", F.col("_to")))
         step = step.select(
             "_from",
@@ -108,13 +111,17 @@ def follow_links(
         step = limits.pin(step.select("_from", "_at", "_path", "_seen", "_end"))
         if step.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            cut = step.select(F.col("_from").alias(node)).distinct()
+            break
         found = found.unionByName(step.where(F.col("_end").isNotNull()).select("_from", "_path", "_end"))
         front = step.where(F.col("_end").isNull()).drop("_end")
         reached = reached.unionByName(front.select("_from", "_at", "_path"))
     first = found.groupBy("_from").agg(F.min(F.struct("_path", "_end")).alias("_f"))
-    return first.select(
+    out = first.select(
         F.col("_from").alias(node), F.col("_f._end").alias("found"), F.size("_f._path").alias("hops")
     )
+    return out if cut is None else out.unionByName(cut.join(out.select(node), node, "left_anti"), allowMissingColumns=True)
 
 
 def reachable_emits(

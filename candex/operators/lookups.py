@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from candex.functions.numbers import _c, int_div
 from candex.plans import limits
 from candex.plans.joins import asof, explode_range, rank_bounds, ranks_join
-from candex.plans.ordered import group_max, group_sum, join_on, ordered, position, running_max, running_sum
+from candex.plans.ordered import group_max, group_min, group_sum, join_on, next_value, ordered, position, running_max, running_sum
 
 # Bytes that hold the picture at an entry point, per profile, for size codes 1 to 6.
 PICTURE_BOUNDS = {
@@ -140,6 +140,55 @@ def slice_extents(
     return pieces.unionByName(tail)
 
 
+def translate_extents(
+    pieces: DataFrame, ranges: DataFrame, key: list[str], address: str, length: str, first: str, blocks: str, target: str,
+    by=(), group_rows: int | None = None,
+) -> DataFrame:
+    """Translates whole intervals ``[address, address + length)`` through ranges, cut at the borders of both.
+
+    An address belongs to the last range that begins at or before it (of equal ones the longest), if it is less than ``blocks``
+    from its beginning, as in ``range_lookup``. Parts: ``by, key, start`` (distance from the piece's address)``, length,
+    target`` (of the part's first cell) and ``status``: ``ok``, ``not recorded`` (null target) or ``outside``. The parts of a
+    piece add up to it. Pieces of null address or of no length have none. ``by`` and ``key`` are unique among the pieces.
+
+    Both sides go through one scan that numbers the ranges, so a piece covers a run of numbers, and the parts come from an
+    equi-join on them: neither a long piece nor a crowded map is one task.
+    """
+    by = list(by)
+    best = ranges.where(F.col(first).isNotNull()).groupBy(*by, F.col(first).cast("long").alias("_first")).agg(
+        F.max(F.struct(F.coalesce(F.col(blocks), F.lit(0)).cast("long").alias("n"), F.col(target).alias("t"))).alias("_r")
+    )
+    placed = ordered(best, by, ["_first"], group_rows).scan(_next=next_value("_first")).rows()
+    placed = placed.select(*by, "_first", "_next", (F.col("_first") + F.col("_r.n")).alias("_stop"), F.col("_r.t").alias("_t"))
+    spans = pieces.select(*by, *key, F.col(address).cast("long").alias("_a"), (F.col(address) + F.col(length)).cast("long").alias("_b"))
+    spans = spans.where("_a < _b")
+    runs, dots = rank_bounds(
+        spans, placed, by, [*key, "_a", "_b"], {"_from": (F.col("_a"), True), "_upto": (F.col("_b"), False)}, "_first", ["_first"],
+        ["_first", "_next", "_stop", "_t"], group_rows, _least=group_min("_point._first"),
+    )
+    # The runs are read for the parts before all ranges and for those in them.
+    runs, dots = limits.pin(runs), limits.pin(dots)
+    a, b = F.col("_span._a"), F.col("_span._b")
+    kind = ranges.schema[target].dataType
+
+    def part(begin: Column, end: Column, goal: Column, status: Column) -> Column:
+        return F.struct(
+            (begin - a).alias("start"), (end - begin).alias("length"), goal.cast(kind).alias("target"), status.alias("status")
+        )
+
+    none, outside = F.lit(None), F.lit("outside")
+    ahead = runs.where("_from = 0").select(*by, "_span", part(a, F.least(b, "_least"), none, outside).alias("_part"))
+    met = ranks_join(runs.withColumn("_from", F.greatest("_from", F.lit(1))).where("_from <= _upto"), dots, by, "_from", "_upto")
+    begin, following = F.greatest(a, F.col("_point._first")), F.least(b, F.col("_point._next"))
+    stop = F.least(F.col("_point._stop"), following)
+    goal = F.col("_point._t") + (begin - F.col("_point._first"))
+    held = part(begin, stop, goal, F.when(F.col("_point._t").isNull(), "not recorded").otherwise("ok"))
+    gap = part(F.greatest(begin, F.col("_point._stop")), following, none, outside)
+    cut = met.select(*by, "_span", F.explode(F.array(held, gap)).alias("_part"))
+    parts = ahead.unionByName(cut).where(F.col("_part.length") > 0)
+    return parts.select(*by, *[F.col(f"_span.{k}").alias(k) for k in key], "_part.*")
+
+
 def locate_offset(
     positions: DataFrame, parts: DataFrame, key: str, pos: str, order: list[str], length: str, part: str,
     group_rows: int | None = None,
