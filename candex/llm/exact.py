@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candex.llm.frames import unused
+from candex.llm.frames import one_row_each
 from candex.plans.limits import pin, scratch_path
 
 SPACES = "\t\n\x0b\x0c\r "
@@ -27,10 +27,10 @@ def digest(text: str) -> Column:
 
 @dataclass(frozen=True)
 class DigestIndex:
-    """A persistent index of admitted texts: ``digest``, ``keep_id``.
+    """A persistent index of admitted texts: ``digest, keep_id, batch``.
 
     ``path`` is a folder all executors share. Opening it again, in this session or another, finds what was
-    appended before; the number of buckets must then be the same.
+    appended before; the number of buckets must then be the same. ``close`` forgets the table's name, not its files.
     """
 
     spark: SparkSession
@@ -43,47 +43,63 @@ class DigestIndex:
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"candex_digests_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
         return DigestIndex(spark, table, buckets)
 
-    def admit(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def admit(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
         """Compares ``docs`` with the index and with each other, and appends the texts not seen before.
 
         Texts are equal when they are identical without ASCII white space. Of the equal rows of a batch the one
         with the most code points, then the smallest id (null last) stays, unless an earlier batch holds the text:
         then that row's id is ``keep_id`` and no row of this batch is kept. Returns one row per row of ``docs``:
-        ``doc_id, keep_id, group_size`` (rows of this batch with the text)``, kept, digest``. Rows that repeat
-        both id and text share one verdict. Other columns are ignored; an empty table gives no rows.
+        ``doc_id, keep_id, group_size`` (rows of this batch with the text)``, kept, digest, size, repeats`` (rows of one text,
+        id and size, of which at most one is kept). Other columns are ignored; an empty table gives no rows.
+
+        A batch that is admitted again under its name, say after a job that died half way, does not meet itself: its rows get
+        the verdicts they got the first time, and nothing is appended twice. A text that several writers have appended is one
+        text, of the smallest id.
         """
+        batch = batch or uuid.uuid4().hex
         rows = pin(
             docs.select(
                 F.col(doc_id).cast("long").alias("doc_id"),
                 digest(text).alias("digest"),
                 F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("size"),
+                F.monotonically_increasing_id().alias("row"),
             )
         )
-        best = F.min(F.struct(-F.col("size"), F.col("doc_id").isNull(), F.col("doc_id")))
+        # Rows of one text, id and size are told apart by their written number.
+        alike = rows.groupBy("digest", "size", "doc_id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("repeats"))
+        best = F.min(F.struct(-F.col("size"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"), F.col("repeats")))
         groups = pin(
-            rows.groupBy("digest")
-            .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-            .select("digest", F.col("best.doc_id").alias("keep_id"), "group_size")
+            alike.groupBy("digest")
+            .agg(best.alias("best"), F.sum("repeats").alias("group_size"))
+            .select("digest", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("best.row").alias("keep_row"), F.col("best.repeats").alias("repeats"))
         )
         index = self.spark.table(self.table)
-        fresh = pin(groups.join(index.select("digest").hint("merge"), "digest", "left_anti").withColumn("fresh", F.lit(True)))
-        known = groups.drop("keep_id").join(index.hint("merge"), "digest").withColumn("fresh", F.lit(False))
+        earlier = index.where(F.col("batch") != batch).hint("merge")
+        fresh = pin(groups.join(earlier.select("digest"), "digest", "left_anti").withColumn("fresh", F.lit(True)))
+        held = earlier.groupBy("digest").agg(F.min("keep_id").alias("keep_id"))
+        known = groups.drop("keep_id").join(held.hint("merge"), "digest").withColumn("fresh", F.lit(False))
         verdicts = pin(fresh.unionByName(known))
-        fresh.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(self.table)
+        mine = index.where(F.col("batch") == batch).select("digest")
+        new = fresh.select("digest", "keep_id", F.lit(batch).alias("batch")).join(mine.hint("merge"), "digest", "left_anti")
+        pin(new).repartition(self.buckets, "digest").write.insertInto(self.table)
         return rows.join(verdicts, "digest").select(
-            "doc_id", "keep_id", "group_size",
-            (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "digest",
+            "doc_id", "keep_id", "group_size", (F.col("fresh") & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest", "size",
+            "repeats",
         )
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the index keeps, with all their columns; each row, also of a null or repeated id, goes or
-    stays by its own verdict, which hangs on its id and digest."""
-    name, key = unused(docs, "gone", "key")
-    gone = index.admit(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias(name), F.col("digest").alias(key)).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)) & (digest(text) == F.col(key)), "left_anti")
+    """The rows of ``docs`` that the index keeps, with all their columns: one row of each text, also where ids are null or
+    repeat. Of rows that share text, id and length, one stays by a hash of all columns."""
+    kept = index.admit(docs, doc_id, text).where("kept")
+    size = F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    match = [(F.col(doc_id).cast("long"), "doc_id"), (digest(text), "digest"), (size, "size")]
+    return one_row_each(docs, kept, match, "repeats")

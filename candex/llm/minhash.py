@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candex.llm.components import components
-from candex.llm.frames import unused
+from candex.llm.frames import one_row_each
 from candex.llm.words import mix, odd_constants, text_chunks, word_hashes
 from candex.plans.limits import pin
 
@@ -184,24 +184,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     One row per row of ``docs``: ``doc_id, n_shingles, component_id`` (the smallest id reachable), ``kept``
     (``doc_id = component_id``). Documents with fewer than ``words`` words have the whole sequence as one run; those
-    without words (null, empty, blank) are linked with nothing. Rows that share an id are one node, rows with a null
-    id are members but name a component only if it has no other id. Other columns are ignored. An empty table gives
-    no rows. Written tables are small: signatures, the crowded keys, and the sets of documents in them.
+    without words (null, empty, blank) are linked with nothing. Rows are linked by their texts, so rows that share an id but
+    not a text, and rows with a null id, have links of their own; a null id names a component only if it has no other.
+    Other columns are ignored. An empty table gives no rows. Written tables are small: signatures, the crowded keys, and
+    the sets of documents in them.
     """
-    return _judged(docs, doc_id, text, words, percent).drop("mark")
+    return _judged(docs, doc_id, text, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _judged(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """The rows of ``near_duplicates`` with the ``mark`` of their text."""
+    """The rows of ``near_duplicates`` with the ``mark`` of their text and the number ``top`` of their component, which is
+    null for texts without words."""
     marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _mark(text).alias("mark"), F.col(text).alias("text"))
-    docs = marked.select("doc_id", "text")
     schema = "doc_id long, mark binary, n_shingles long, digest binary, sig array<long>"
     signed = pin(marked.mapInArrow(partial(_signatures, k=words), schema))
-    classes = pin(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    placed = pin(signed.join(classes, "digest", "left"))
-    reps = placed.where("doc_id = rep").select("rep", "n_shingles", "sig")
+    # Documents with one set are a class; its number is written, so it does not change.
+    source = F.min(F.struct("mark", "doc_id"))
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"), source.alias("source"))
+    classes = pin(pin(classes).withColumn("rep", F.monotonically_increasing_id()))
 
-    keys = reps.select("rep", F.explode(_keys("sig")).alias("key"))
+    keys = classes.select("rep", F.explode(_keys("sig")).alias("key"))
     sizes = pin(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     crowded = pin(keys.join(sizes, "key"))
     popular = crowded.groupBy("rep").agg(F.sum("n").alias("pop"))
@@ -210,8 +212,11 @@ def _judged(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -
     )
     spokes = pin(crowded.select("key", "rep").join(hubs, "key"))
     pairs = pin(spokes.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
-    nodes = crowded.select(F.col("rep").alias("doc_id")).distinct()
-    sets = pin(docs.join(nodes, "doc_id", "left_semi").mapInArrow(partial(_whole_sets, k=words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+    nodes = classes.join(crowded.select("rep").distinct(), "rep", "left_semi")
+    nodes = nodes.select("rep", F.col("source.mark").alias("their_mark"), F.col("source.doc_id").alias("their_id"))
+    # Rows that repeat an id and a text come several times here, with one and the same set.
+    texts = marked.join(nodes, (F.col("mark") == F.col("their_mark")) & F.col("doc_id").eqNullSafe(F.col("their_id"))).select("rep", "text")
+    sets = pin(texts.mapInArrow(partial(_whole_sets, k=words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
     links = pin(_confirmed(pairs, sets, percent))
     named = components(links)
 
@@ -219,16 +224,24 @@ def _judged(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -
     if not more.isEmpty():
         named = _joined(named, more)
     final = named.select(F.col("node").alias("rep"), F.col("component").alias("top"))
-    component = F.coalesce("top", "rep", "doc_id")
-    return placed.join(final, "rep", "left").select(
-        "doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    topped = pin(classes.join(final, "rep", "left").select("digest", "first", F.coalesce("top", "rep").alias("top")))
+    names = topped.groupBy("top").agg(F.min("first").alias("component_id"))
+    placed = signed.drop("sig").join(topped.select("digest", "top").join(names, "top"), "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return placed.select(
+        "doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "top"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, with all their columns; each row, also of a null or repeated
-    id, goes or stays by its own verdict, which hangs on its id and text."""
+    """The rows of ``docs`` that stand for their component, one for each, with all their columns.
+
+    That is the row of the smallest id (null last), then of the smallest text hash; of rows that share both, one stays by a
+    hash of all columns. Texts without words are no copies of each other and all stay, but for rows that share id and text.
+    """
     found = _judged(docs, doc_id, text, words, percent)
-    name, key = unused(docs, "gone", "key")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name), F.col("mark").alias(key)).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)) & (_mark(text) == F.col(key)), "left_anti")
+    alike = found.groupBy("top", "mark", "doc_id").agg(F.count(F.lit(1)).alias("repeats"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"), F.col("repeats")))
+    first = alike.where("top IS NOT NULL").groupBy("top").agg(best.alias("b")).select("b.doc_id", "b.mark", "b.repeats")
+    kept = pin(first.unionByName(alike.where("top IS NULL").select("doc_id", "mark", "repeats")))
+    return one_row_each(docs, kept, [(F.col(doc_id).cast("long"), "doc_id"), (_mark(text), "mark")], "repeats")

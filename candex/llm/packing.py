@@ -2,8 +2,9 @@
 
 Documents are dealt by hash into shards of a bounded number of words; each shard is packed on its own. A bin carries
 a bitmap of the duplicate clusters it holds and, for each number up to ``per_source``, one of the sources that
-it holds so many documents of. Open bins are kept ordered by what is left in them: the search starts at the first in
-which the document fits and goes on to the next until a compatible one is found, which is the tightest.
+it holds so many documents of. Open bins are kept ordered by what is left in them, a list for each kind of document that
+comes often: the search starts at the first in which the document fits and goes on to the next until a compatible one is
+found, which is the tightest.
 """
 
 from __future__ import annotations
@@ -22,35 +23,81 @@ from candex.plans.limits import pin
 _BINS = 1 << 28
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each document, taken in the given order. Null sources and clusters conflict with nothing."""
+class OpenBins:
+    """Bins with room, ordered by what is left, apart for each kind of document that is frequent.
+
+    A kind is a source and a cluster, of which only those that come often count. A bin stands in the list of a kind while it is
+    closed to neither of the two. So a search for a kind never meets bins that its frequent source or cluster has closed,
+    and those that a rare one has closed are few: at most as many as it has documents.
+    """
+
+    def __init__(self, kinds: list[tuple[int, int]]):
+        self.kinds = kinds
+        self.lists: list[list[tuple[int, int]]] = [[] for _ in kinds]
+        self.looked = 0
+
+    def tightest(self, kind: int, size: int, fits) -> tuple[int, int] | None:
+        """The bin with the least room of at least ``size`` for which ``fits`` holds."""
+        bins = self.lists[kind]
+        for place in range(bisect_left(bins, (size, -1)), len(bins)):
+            self.looked += 1
+            if fits(bins[place][1]):
+                return bins[place]
+        return None
+
+    def moved(self, b: int, before: int, after: int, closed_before: tuple[int, int], closed: tuple[int, int]) -> None:
+        """Puts a bin where it belongs after its room or what it is closed to has changed."""
+        for bins, (source, cluster) in zip(self.lists, self.kinds, strict=True):
+            if before and not (closed_before[0] & source or closed_before[1] & cluster):
+                del bins[bisect_left(bins, (before, b))]
+            if after and not (closed[0] & source or closed[1] & cluster):
+                insort(bins, (after, b))
+
+
+def _frequent(values: list, least: float) -> set:
+    return {v for v, n in Counter(values).items() if n > least and v is not None}
+
+
+def best_fit(
+    sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int, open_bins: list | None = None
+) -> tuple[list[int], list[int]]:
+    """Bin and offset of each document, taken in the given order. Null sources and clusters conflict with nothing.
+
+    ``open_bins`` takes the ``OpenBins`` of the run, for those who want to know how many bins it looked at.
+    """
     bit: dict = {}
     source_bits = [0 if s is None else 1 << bit.setdefault(s, len(bit)) for s in sources]
     often = {c for c, n in Counter(clusters).items() if n > 1 and c is not None}
     at = {c: 1 << i for i, c in enumerate(sorted(often))}
-    left: list[tuple[int, int]] = []
+    cluster_bits = [at.get(c, 0) for c in clusters]
+    # Rare is what comes at most as often as the root of all documents.
+    root = len(sizes) ** 0.5
+    hot = _frequent(source_bits, root), _frequent(cluster_bits, root)
+    kind_of = [(s if s in hot[0] else 0, c if c in hot[1] else 0) for s, c in zip(source_bits, cluster_bits, strict=True)]
+    kinds = sorted(set(kind_of))
+    number = {kind: i for i, kind in enumerate(kinds)}
+    left = OpenBins(kinds)
+    if open_bins is not None:
+        open_bins.append(left)
     held, levels, bins, offsets = [], [], [], []
-    for size, source, cluster in zip(sizes, source_bits, (at.get(c, 0) for c in clusters), strict=True):
-        place = bisect_left(left, (size, -1))
-        while place < len(left):
-            b = left[place][1]
-            if not held[b] & cluster and not levels[b][-1] & source:
-                room = left.pop(place)[0]
-                break
-            place += 1
-        else:
-            b, room = len(held), capacity
+    for size, source, cluster, kind in zip(sizes, source_bits, cluster_bits, kind_of, strict=True):
+        found = left.tightest(number[kind], size, lambda b, s=source, c=cluster: not held[b] & c and not levels[b][-1] & s)
+        if found is None:
+            room, b, before = capacity, len(held), 0
             held.append(0)
             levels.append([0] * per_source)
+        else:
+            room, b = found
+            before = room
+        closed_before = levels[b][-1], held[b]
         held[b] |= cluster
-        for level in levels[b]:
+        for i, level in enumerate(levels[b]):
             if not level & source:
-                levels[b][levels[b].index(level)] = level | source
+                levels[b][i] = level | source
                 break
         bins.append(b)
         offsets.append(capacity - room)
-        if room > size:
-            insort(left, (room - size, b))
+        left.moved(b, before, room - size, closed_before, (levels[b][-1], held[b]))
     return bins, offsets
 
 
