@@ -16,9 +16,12 @@ from candex.plans.limits import pin
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents stay whose language is told with a probability of at least one half.
 
-    Texts without a letter and texts in none of the known languages go. Learns from two thirds of the labels.
+    Texts without a letter go, and those between whose likeliest languages the model cannot decide. A text in a language that no
+    label names counts as the nearest known one. Learns from two thirds of the labels; without any, everything stays.
     """
     model = fit_languages(docs, bucket("doc_id", 3) != 1)
+    if not model.languages:
+        return docs
     # The whole row as one column: its names cannot clash with those that are added.
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     told = predict_language(rows, model, ["row"])
@@ -27,7 +30,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of documents with one text the longest stays."""
-    return drop_copies(docs, DigestIndex.open(spark))
+    index = DigestIndex.open(spark)
+    kept = pin(drop_copies(docs, index))
+    index.close()
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
