@@ -144,7 +144,8 @@ def layer_fold(
     parts = seen.drop("layers").join(large.drop("layers"), match).select(
         "_g", int_div(F.col("_at"), fold_rows).alias("_chunk"), (F.col("_at") % fold_rows).alias("_at"), "_v.*"
     )
-    folded = _table_fold(limits.pin(parts), channels, alpha)
+    # A row per stack, from numpy in tasks; written, as readers of the result would run all of it again.
+    folded = limits.pin(_table_fold(limits.pin(parts), channels, alpha))
     folded = large.join(folded, "_g").select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "layers", *channels, alpha)
     return out.unionByName(folded) if keys else folded
 
