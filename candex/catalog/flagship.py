@@ -6,14 +6,17 @@ from candex.catalog.registry import EVENTS_SQL, ITEMS_SQL, LINES, LINES_SQL, eve
 from candex.functions.numbers import int_div
 from candex.operators.aggregates import group_parts, top_groups
 from candex.operators.filters import quarantine, size_gate
-from candex.operators.lookups import anti_seen, coalesce_backup, interval_join_fallback, locate_offset, semi_supported
+from candex.operators.lookups import anti_seen, coalesce_backup, entry_ranges, locate_offset
 from candex.operators.windows import (
     first_acceptable_else_best,
+    limit_per_group,
     nested_quota,
     ordered_union_distinct,
     permille_sample,
     rank_candidates,
 )
+from candex.plans import limits
+from candex.plans.joins import ranks_join
 from candex.sources.tables import access_report
 
 @query(
@@ -81,13 +84,14 @@ def group_search(spark, d):
     """The whole search for each customer: sets of parts, queue, quotas, sampled places, last resort, choice."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
     lines = rank_candidates(items(spark, d).join(orders, "l_orderkey"), ["l_orderkey"], [], LINES)
-    lines = lines.withColumnRenamed("rank_no", "part")
+    # Read for the sets, the lengths, the places, the prices and the last resort.
+    lines = limits.pin(lines.withColumnRenamed("rank_no", "part"))
     sets = group_parts(lines.withColumn("part", F.col("l_linenumber") - 1), ["o_custkey", "l_orderkey"], "part", "qty", LINES)
     largest = top_groups(sets, ["l_orderkey"], "total", 2, ["o_custkey"], minimum=20)
     urgent = orders.where("o_orderpriority = '1-URGENT'")
     names = ["o_custkey", "l_orderkey"]
     queue = ordered_union_distinct([urgent.select(names), largest.select(names)], names, ["l_orderkey"])
-    queue = nested_quota(queue, ["o_custkey"], ["list_no"], ["list_no", "l_orderkey"], 2, 3)
+    queue = limits.pin(nested_quota(queue, ["o_custkey"], ["list_no"], ["list_no", "l_orderkey"], 2, 3))
 
     lengths = lines.groupBy("l_orderkey").agg(F.sum("qty").alias("n"))
     tries = F.explode(F.array(*[F.struct(F.lit(no).alias("no"), F.lit(p).alias("p")) for no, p in PLACES])).alias("t")
@@ -141,9 +145,12 @@ def interval_search(spark, d):
     spare = bought.select("user_id", "item", (F.col("day_secs") - 86400).alias("t0"), F.col("day_secs").alias("t1"), (F.col("day_secs") >= 86400).alias("good"))
     windows = coalesce_backup(own, spare, ["user_id", "item"], lambda c: c("good"))
     seen = e.where("event_type IN ('view', 'click')").select("user_id", F.col("event_id").alias("entry"), F.col("day_secs").alias("t"), "cents")
-    pairs = interval_join_fallback(windows, seen, ["user_id"], "item", "t0", "t1", "t", ["entry"], ["entry", "cents"])
-    largest = top_groups(pairs.withColumn("n", F.lit(1)), ["item"], "n", 3, ["user_id"])
-    sampled = permille_sample(semi_supported(pairs, largest, ["user_id", "item"]), ["user_id", "item"], ["entry"])
+    # The ranges tell how many entries a window has: only the largest are joined to theirs.
+    ranges, ranked = entry_ranges(windows, seen, ["user_id"], "item", "t0", "t1", "t", ["entry"], ["entry", "cents"])
+    sizes = ranges.withColumn("n", F.col("last") - F.col("first") + 1)
+    pairs = ranks_join(limit_per_group(sizes, ["user_id"], ["-n", "item"], 3), ranked, ["user_id"], "first", "last")
+    pairs = pairs.select("user_id", "item", "_point.*", "rule")
+    sampled = permille_sample(pairs, ["user_id", "item"], ["entry"])
     ok = F.col("cents").between(3000, 6000)
     best = first_acceptable_else_best(sampled, ["user_id", "item"], ["try_no"], ok, "cents")
     return best.join(windows.select("item", "origin"), "item").select("user_id", "item", "origin", "rule", "entry", "cents", "try_no")

@@ -113,9 +113,10 @@ def slice_extents(
     # Starts increase with the extent number, so the rank of a start is that number.
     runs, _ = rank_bounds(
         wanted, placed, [key], [request, "_off", "_stop"], {"_a": (F.col("_off"), True), "_b": (F.col("_stop"), False)},
-        "ext_start", ["ord"], ["ext_stop"], group_rows, _covered=group_max("_point.ext_stop"),
+        "ext_start", ["ord"], ["ext_stop"], group_rows, points_too=False, _covered=group_max("_point.ext_stop"),
     )
-    wanted = runs.select(key, "_span.*", "_a", "_b", F.coalesce("_covered", F.lit(0).cast("long")).alias("_covered"))
+    # Read for the pieces and for what lies past the last extent: the scan runs once.
+    wanted = limits.pin(runs.select(key, "_span.*", "_a", "_b", F.coalesce("_covered", F.lit(0).cast("long")).alias("_covered")))
     runs = explode_range(wanted.where("_off < _covered"), F.col("_a"), F.col("_b") + 1, "ord")
     pieces = join_on(runs.select(key, request, "_off", "_stop", "ord"), placed, [key, "ord"])
     begin = F.greatest("_off", "ext_start")
@@ -167,7 +168,7 @@ def translate_extents(
         ["_first", "_next", "_stop", "_t"], group_rows, _least=group_min("_point._first"),
     )
     # The runs are read for the parts before all ranges and for those in them.
-    runs, dots = limits.pin(runs), limits.pin(dots)
+    runs = limits.pin(runs)
     a, b = F.col("_span._a"), F.col("_span._b")
     kind = ranges.schema[target].dataType
 

@@ -46,3 +46,9 @@ def test_inventory_leaves_the_content_alone(spark):
 def test_successive_scans_share_one_shuffle(spark):
     text = plan(spark, QUERIES["w5_edge_trim"](spark, FOLDER))
     assert text.split("\n\n")[0].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["j4_slice_extents", "j7_interval_join_fallback"])
+def test_scans_that_are_read_twice_run_once(spark, name):
+    """What follows reads written rows: no window is left in the plan."""
+    assert "Window" not in plan(spark, QUERIES[name](spark, FOLDER))
