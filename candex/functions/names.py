@@ -14,9 +14,9 @@ IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "gif"]
 
 # Fixed values: (class, pattern, group of the set number, group of the part number) of disc file names.
 DISC_NAME_RULES = [
-    ("manager", r"(?i)^VIDEO_TS\.VOB$", None, None),
-    ("title", r"(?i)^VTS_(0[1-9]|[1-9][0-9])_([0-9])\.VOB$", 1, 2),
-    ("clip", r"(?i)^([0-9]{5})\.m2ts$", 1, None),
+    ("manager", r"(?i)^VIDEO_TS\.VOB\z", None, None),
+    ("title", r"(?i)^VTS_(0[1-9]|[1-9][0-9])_([0-9])\.VOB\z", 1, 2),
+    ("clip", r"(?i)^([0-9]{5})\.m2ts\z", 1, None),
 ]
 
 # Size letter before the extension of a jacket picture, largest first.
@@ -120,7 +120,7 @@ def classify_name(name, rules=DISC_NAME_RULES) -> Column:
     return out
 
 
-def size_rank(name, pattern: str = r"(?is)^J.*(.)\.MP2$", sizes=JACKET_SIZES) -> Column:
+def size_rank(name, pattern: str = r"(?is)^J.*(.)\.MP2\z", sizes=JACKET_SIZES) -> Column:
     """Rank of the size letter in a name, ``len(sizes)`` for other letters, null for other names."""
     name = _c(name)
     letter = F.translate(F.regexp_extract(name, pattern, 1), _LOWER, _UPPER)
@@ -135,7 +135,7 @@ def size_rank(name, pattern: str = r"(?is)^J.*(.)\.MP2$", sizes=JACKET_SIZES) ->
 def clean_name(name, cut: str = ";", trim: str = ".") -> Column:
     """The name up to the first ``cut`` character, without trailing ``trim`` characters; empty gives null."""
     base = F.regexp_replace(_c(name), rf"(?s)[{cut}].*$", "")
-    base = F.regexp_replace(base, rf"[{trim}]+$", "")
+    base = F.regexp_replace(base, rf"[{trim}]+\z", "")
     return F.when(base != "", base)
 
 

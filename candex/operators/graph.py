@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from candex.functions.names import fold
 from candex.plans import limits
-from candex.plans.ordered import first_rows, ordered, position, same_keys
+from candex.plans.ordered import first_rows, ordered, position, running_sum, same_keys
 
 
 def resolve_paths(
@@ -124,38 +124,88 @@ def follow_links(
     return out if cut is None else out.unionByName(cut.join(out.select(node), node, "left_anti"), allowMissingColumns=True)
 
 
+def _grown(tables: list[tuple[int, DataFrame]], new: DataFrame, fan: int = 8) -> list[tuple[int, DataFrame]]:
+    """``tables`` with one more; ``fan`` of one size become a single written table, so few are read however many come."""
+    tables = [*tables, (0, new)]
+    while len(tables) >= fan and tables[-fan][0] == tables[-1][0]:
+        size = tables[-1][0] + 1
+        tables[-fan:] = [(size, limits.pin(reduce(DataFrame.unionByName, [t for _, t in tables[-fan:]])))]
+    return tables
+
+
+def _all_rows(tables: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [t for _, t in tables])
+
+
 def reachable_emits(
     roots: DataFrame, edges: DataFrame, emits: DataFrame, node: str, ordinal: str, target: str, value: str,
-    max_depth: int | None = None, cap: int | None = None,
+    max_depth: int | None = None, cap: int | None = None, group_rows: int | None = None,
 ) -> DataFrame:
     """What the nodes reachable from each root emit, each node once: ``root, value, emit_no`` (from 1), the
     distinct values in walk order; with ``cap`` the first of them. Levels end where nothing new is reached, with
     ``max_depth`` at that depth.
 
-    Links and emits of a node share one ordinal, so walk order is the order of the paths. A node counts where
-    it is first reached: at the smallest depth, then by the smallest path.
+    Links and emits of a node share one ordinal; at one ordinal emits come first, then links by target. A node counts
+    where it is first reached: at the smallest depth, then from the parent that is earlier in the order of its level.
+
+    Rows have one size at any depth: a parent, an ordinal and a rank within the level instead of a path. Levels up, each
+    node learns how much is emitted below it; a running sum of that over the links and emits of a node, summed up to the
+    root by doubled pointers, is the place in the walk.
     """
-    front = roots.select(
-        F.col(node).alias("root"), F.col(node).alias("_at"), F.array().cast("array<int>").alias("_path")
+    here = F.col(node).alias("_at")
+    place = F.col(ordinal).cast("long").alias("_o")
+    links = limits.pin(edges.select(F.col(node).alias("_up"), place, F.col(target).alias("_at")))
+    kind = links.schema["_at"].dataType
+    none = F.lit(None)
+    level = limits.pin(
+        roots.select(F.col(node).alias("root"), F.col(node).cast(kind).alias("_at")).distinct()
+        .select("root", "_at", none.cast(kind).alias("_up"), none.cast("long").alias("_o"), F.lit(1).cast("long").alias("_upper"))
     )
-    links = edges.select(F.col(node).alias("_at"), F.col(ordinal).cast("int").alias("_o"), F.col(target).alias("_to"))
-    links = limits.pin(links)
-    levels = [limits.pin(front)]
+    levels, seen = [level], _grown([], level)
     while max_depth is None or len(levels) <= max_depth:
-        step = levels[-1].join(links, "_at").select(
-            "root", F.col("_to").alias("_at"), F.concat("_path", F.array("_o")).alias("_path")
-        )
-        step = step.groupBy("root", "_at").agg(F.min("_path").alias("_path"))
-        visited = reduce(DataFrame.unionByName, levels).select("root", "_at")
-        step = limits.pin(step.join(visited, ["root", "_at"], "left_anti"))
+        ranked = ordered(levels[-1], ["root"], ["_upper", "_o", "_at"], group_rows).scan(_rank=position()).rows()
+        step = ranked.select("root", F.col("_at").alias("_up"), "_rank").join(links, "_up")
+        step = step.groupBy("root", "_at").agg(F.min(F.struct("_rank", "_o", "_up")).alias("_p"))
+        step = step.select("root", "_at", "_p._up", "_p._o", F.col("_p._rank").alias("_upper"))
+        step = limits.pin(step.join(_all_rows(seen).select("root", "_at"), ["root", "_at"], "left_anti"))
         if step.isEmpty():
             break
         levels.append(step)
-    reached = reduce(DataFrame.unionByName, levels)
-    out = emits.select(F.col(node).alias("_at"), F.col(ordinal).cast("int").alias("_o"), F.col(value).alias("value"))
-    out = reached.join(out, "_at").select("root", "value", F.concat("_path", F.array("_o")).alias("_path"))
+        seen = _grown(seen, step)
+
+    given = limits.pin(emits.select(here, place, F.col(value).alias("value")))
+    own = limits.pin(given.groupBy("_at").agg(F.count(F.lit(1)).alias("_own")))
+    below, sized = None, []
+    for level in reversed(levels):
+        sizes = level.join(own, "_at", "left")
+        size = F.coalesce("_own", F.lit(0))
+        if below is not None:
+            inner = below.groupBy("root", F.col("_up").alias("_at")).agg(F.sum("_size").alias("_inner"))
+            sizes = sizes.join(inner, ["root", "_at"], "left")
+            size = size + F.coalesce("_inner", F.lit(0))
+        below = limits.pin(sizes.select("root", "_at", "_up", "_o", size.alias("_size")).where(F.col("_size") > 0))
+        sized = _grown(sized, below)
+    nodes = _all_rows(sized)
+
+    items = nodes.where(F.col("_up").isNotNull()).select(
+        "root", F.col("_up").alias("_at"), "_o", F.col("_at").alias("_child"), none.cast(given.schema["value"].dataType).alias("value"), "_size"
+    )
+    items = items.unionByName(nodes.select("root", "_at").join(given, "_at").select(
+        "root", "_at", "_o", none.cast(kind).alias("_child"), "value", F.lit(1).cast("long").alias("_size")
+    ))
+    # Emits have no child, and nulls come first.
+    inside = ordered(limits.pin(items), ["root", "_at"], ["_o", "_child", "value"], group_rows)
+    inside = limits.pin(inside.scan(_before=running_sum("_size", inclusive=False)).rows("_o", "_size"))
+    starts = inside.where(F.col("_child").isNotNull()).select("root", F.col("_child").alias("_at"), F.col("_at").alias("_up"), "_before")
+    for _ in range((len(levels) - 1).bit_length()):
+        above = starts.select("root", F.col("_at").alias("_up"), F.col("_up").alias("_next"), F.col("_before").alias("_more"))
+        starts = limits.pin(starts.join(above, ["root", "_up"], "left").select(
+            "root", "_at", F.col("_next").alias("_up"), (F.col("_before") + F.coalesce("_more", F.lit(0))).alias("_before")
+        ))
+    out = inside.where(F.col("_child").isNull()).select("root", "_at", "value", F.col("_before").alias("_place"))
+    out = out.join(starts.select("root", "_at", "_before"), ["root", "_at"], "left")
     # Distinct values at their first place; both this and a cap combine before the shuffle.
-    out = out.groupBy("root", "value").agg(F.min("_path").alias("_path"))
+    out = out.groupBy("root", "value").agg(F.min(F.col("_place") + F.coalesce("_before", F.lit(0))).alias("_place"))
     if cap is None:
-        return ordered(out, ["root"], ["_path", "value"]).scan(emit_no=position()).rows("_path")
-    return first_rows(out, ["root"], ["_path", "value"], cap, "emit_no").drop("_path")
+        return ordered(out, ["root"], ["_place"], group_rows).scan(emit_no=position()).rows("_place")
+    return first_rows(out, ["root"], ["_place"], cap, "emit_no").drop("_place")

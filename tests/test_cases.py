@@ -1,5 +1,7 @@
 """Small cases with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -457,6 +459,57 @@ def test_reachable_emits_in_walk_order(spark):
     assert G.reachable_emits(roots, edges, emits, "id", "o", "t", "v", cap=2).count() == 2
 
 
+@pytest.mark.parametrize("group_rows", [None, 3])
+def test_reachable_emits_is_the_walk(spark, group_rows):
+    rng = random.Random(4)
+    edges, emits = [], []
+    for n in range(60):
+        # A chain of 60 with links back and ahead.
+        targets = [n + 1, *rng.sample(range(60), 2)] if n < 59 else [0]
+        order = rng.sample(range(9), len(targets) + 2)
+        edges += [(n, o, t) for o, t in zip(order, targets)]
+        emits += [(n, o, rng.randrange(40)) for o in order[len(targets):]]
+
+    def walk(root):
+        level, seen, kids = [root], {root}, {}
+        while level:
+            step = []
+            for n in level:
+                for _, o, t in sorted(e for e in edges if e[0] == n):
+                    if t not in seen:
+                        seen.add(t)
+                        step.append(t)
+                        kids.setdefault(n, []).append((o, 1, t))
+            level = step
+        out, stack = [], [(root, 1)]
+        while stack:
+            n, link = stack.pop()
+            if link:
+                items = kids.get(n, []) + [(o, 0, v) for m, o, v in emits if m == n]
+                stack += [(x, k) for _, k, x in sorted(items, reverse=True)]
+            elif n not in out:
+                out.append(n)
+        return out
+
+    roots = spark.createDataFrame([(0,), (7,), (7,), (99,)], "id INT")
+    got = G.reachable_emits(
+        roots, spark.createDataFrame(edges, "id INT, o INT, t INT"), spark.createDataFrame(emits, "id INT, o INT, v INT"),
+        "id", "o", "t", "v", group_rows=group_rows,
+    )
+    assert not any("array" in t for _, t in got.dtypes)
+    for root in (0, 7):
+        rows = got.where(F.col("root") == root).orderBy("emit_no").collect()
+        assert [r["emit_no"] for r in rows] == list(range(1, len(rows) + 1))
+        assert [r["value"] for r in rows] == walk(root)
+    assert got.where("root = 99").isEmpty()
+
+
+def test_names_end_where_they_end(spark):
+    df = spark.createDataFrame([("VIDEO_TS.VOB",), ("VIDEO_TS.VOB\n",), ("00001.m2ts\n",), ("JX_L.MP2\n",)], "n STRING")
+    got = df.select(N.classify_name("n")["class"].alias("c"), N.size_rank("n").alias("r")).collect()
+    assert [(r["c"], r["r"]) for r in got] == [("manager", None), (None, None), (None, None), (None, None)]
+
+
 def test_lookup_path_takes_the_first_folder(spark):
     rows = [("d", 1, None, "", True, 0), ("d", 2, 1, "bdmv", True, 1), ("d", 3, 1, "BDMV", True, 2), ("d", 4, 3, "meta", True, 1),
             ("d", 5, 2, "META", True, 1), ("d", 6, 5, "dl.jpg", False, 1)]
