@@ -253,6 +253,21 @@ def _expect(frames: Iterator[pd.DataFrame], model: LanguageModel) -> Iterator[pd
     yield pd.DataFrame({"lang": [model.languages[i] for i in k], "piece": piece, "n": totals[piece, k]})
 
 
+def smallest_hashes(hashes: DataFrame, n: int) -> DataFrame:
+    """The ``n`` smallest of the different hashes ``h`` of each ``lang``.
+
+    Hashes are counted by their first 20 bits; what lies behind the range that holds the last wanted one goes before
+    anything is ranked. So a task ranks counts of 2^20 ranges and ``n`` hashes with those of one range more, however many there are.
+    """
+    part = F.shiftright("h", 44)
+    ranges = hashes.groupBy("lang", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("lang").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    last = ranges.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).groupBy("lang").agg(F.max("part").alias("last"))
+    near = hashes.join(last, "lang").where(part <= F.col("last"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    return near.withColumn("place", place).where(F.col("place") <= n).select("lang", "h")
+
+
 def fit_languages(
     docs: DataFrame, trained_on: Column | None = None, text: str = "text", lang: str = "lang",
     vocabulary: str | None = None, sample_docs: int = 6000, rounds: int = 2, smooth: float = 0.05,
@@ -266,8 +281,7 @@ def fit_languages(
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = (rows if trained_on is None else rows.where(trained_on)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = pin(rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= sample_docs).drop("place"))
+    chosen = pin(smallest_hashes(pin(rows.select("lang", "h").distinct()), sample_docs))
     pieces = read_pieces(vocabulary or public_vocabulary())
     if chosen.isEmpty():
         return LanguageModel(pieces, [], np.zeros((len(pieces) + 2, 0)))
