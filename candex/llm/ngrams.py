@@ -26,6 +26,9 @@ from candex.plans.limits import pin, scratch_path
 END = np.uint64(0x5EED0E9D)
 _FLUSH = 1 << 21
 
+# From this count on a bigram has an entry of 64 bits.
+_WIDE = 2**32 - 1
+
 
 def _tokens(texts: list, chunk: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts: place of the first, hashes of all tokens with an end after each text, tokens of each text."""
@@ -228,10 +231,13 @@ def _write_pairs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
         nonlocal first, rows
         if len(keys):
             first = int(keys[0]) if first is None else first
-            rows += len(keys)
             files[0].write(keys.tobytes())
-            files[1].write(np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes())
+            files[1].write(np.minimum(n, _WIDE).astype(np.uint32).tobytes())
+            # Counts that 32 bits do not hold stand beside, with their rows.
+            wide = np.flatnonzero(n >= _WIDE)
+            files[2].write(np.stack([rows + wide, n[wide]], axis=1).astype(np.int64).tobytes())
             held.append((keys, n))
+            rows += len(keys)
 
     for batch in batches:
         b, keys, n = (batch.column(i).to_numpy() for i in range(3))
@@ -246,7 +252,7 @@ def _write_pairs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
                     yield row(2, bucket, first, rows)
                 bucket, first, rows = int(part[0][0]), None, 0
                 tail_keys, tail_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                files = [stack.enter_context(writing(f"{path}/{name}-{bucket:06d}")) for name in ("pairs", "times")]
+                files = [stack.enter_context(writing(f"{path}/{name}-{bucket:06d}")) for name in ("pairs", "times", "wide")]
             # The last bigram may go on in the next batch.
             keys, n = _unique_sums(np.concatenate([tail_keys, part[1]]), np.concatenate([tail_n, part[2]]))
             put(keys[:-1], n[:-1])
@@ -313,6 +319,7 @@ class KneserNey:
         if "pairs" not in v._open:
             v._open["pairs"] = [mapped(a.format("pairs"), np.int64) for a in at]
             v._open["times"] = [mapped(a.format("times"), np.uint32) for a in at]
+            v._open["wide"] = [mapped(a.format("wide"), np.int64).reshape(-1, 2) for a in at]
         shard, place = find_sorted(keys, np.array(self.firsts, np.int64), v._open["pairs"])
         out = np.zeros(len(keys), np.int64)
         bounds = np.searchsorted(shard, np.arange(len(self.buckets) + 1))
@@ -320,7 +327,11 @@ class KneserNey:
             low, high = bounds[i], bounds[i + 1]
             if low < high:
                 known = place[low:high] >= 0
-                out[low:high][known] = times[place[low:high][known]]
+                rows = place[low:high][known]
+                counts, wide = times[rows].astype(np.int64), v._open["wide"][i]
+                large = counts == _WIDE
+                counts[large] = wide[np.searchsorted(wide[:, 0], rows[large]), 1]
+                out[low:high][known] = counts
         return out
 
 

@@ -6,12 +6,16 @@ import random
 import re
 from collections import Counter
 from hashlib import sha256
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from candex.llm import ngrams
 from candex.llm.automata import Automaton, build, summed, union
+from candex.llm.language import smallest_hashes
 from candex.llm.phrases import SECTION, _sections, collocations
 from candex.llm.queries import QUERIES
 from candex.llm.secrets import base_spans, find_secrets, known, listed
@@ -266,3 +270,28 @@ def test_phrases_of_a_long_text(spark):
 def test_queries_ignore_helper_names(spark):
     table = spark.createDataFrame([("en", "a b " * 200, 1, 2)], "lang string, text string, word long, ids long")
     assert collocations(table.withColumn("range", F.lit(1))).count() > 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 500])
+def test_smallest_hashes(spark, n):
+    rng = random.Random(2)
+    rows = sorted({(lang, rng.randrange(-(2**63), 2**63) >> rng.choice([0, 0, 30])) for lang in ("a", "a", "b", "c") for _ in range(200)})
+    rows += [("d", -(2**63)), ("d", 2**63 - 1)]
+    got = smallest_hashes(spark.createDataFrame(rows, "lang STRING, h LONG"), n).collect()
+    want = [(k, h) for k in "abcd" for h in sorted(h for lang, h in rows if lang == k)[:n]]
+    assert sorted((r.lang, r.h) for r in got) == want
+
+
+def test_counts_of_bigrams_beyond_32_bits(tmp_path):
+    keys = np.array([3 << 32 | 1, 3 << 32 | 2, 3 << 32 | 5, 4 << 32 | 1, 9 << 32 | 0])
+    n = np.array([7, 2**32 - 2, 2**32 - 1, 2**40, 1])
+    # One bucket over two batches; a bigram that is cut by their border.
+    parts = [(keys[:4], n[:4] - np.array([0, 0, 0, 5])), (keys[3:], np.array([5, 1]))]
+    batches = [pa.record_batch([pa.array(np.zeros(len(k), np.int32)), pa.array(k), pa.array(c)], ["bucket", "key", "n"]) for k, c in parts]
+    stats = pa.Table.from_batches(ngrams._write_pairs(iter(batches), str(tmp_path))).to_pylist()
+    assert {r["id"]: r["total"] for r in stats if r["kind"] == 0} == {3: 7 + 2**33 - 3, 4: 2**40, 9: 1}
+    (bucket,) = [r for r in stats if r["kind"] == 2]
+    vocabulary = SimpleNamespace(path=str(tmp_path), _open={})
+    model = ngrams.KneserNey(vocabulary, [bucket["id"]], [bucket["total"]], [], [], 0, 0.0)
+    assert model.pair_counts(keys).tolist() == n.tolist()
+    assert model.pair_counts(np.array([3 << 32 | 3, 4 << 32 | 1])).tolist() == [0, 2**40]
