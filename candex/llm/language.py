@@ -259,11 +259,12 @@ def smallest_hashes(hashes: DataFrame, n: int) -> DataFrame:
     Hashes are counted by their first 20 bits; what lies behind the range that holds the last wanted one goes before
     anything is ranked. So a task ranks counts of 2^20 ranges and ``n`` hashes with those of one range more, however many there are.
     """
-    part = F.shiftright("h", 44)
-    ranges = hashes.groupBy("lang", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    hashes = hashes.withColumn("part", F.shiftright("h", 44))
+    ranges = hashes.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("lang").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    last = ranges.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).groupBy("lang").agg(F.max("part").alias("last"))
-    near = hashes.join(last, "lang").where(part <= F.col("last"))
+    wanted = ranges.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n)
+    # By language and range: no task gets all hashes of a language.
+    near = hashes.join(wanted.select("lang", "part"), ["lang", "part"], "left_semi")
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     return near.withColumn("place", place).where(F.col("place") <= n).select("lang", "h")
 
