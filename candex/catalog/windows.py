@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from candex.catalog.registry import EVENTS_SQL, ITEMS_SQL, LINES, LINES_SQL, TIMES, events, items, query, table
-from candex.functions.numbers import cents, join_bits
+from candex.functions.numbers import cents, int_div, join_bits
 from candex.operators import windows as W
+from candex.operators.areas import active_area
 from candex.operators.folds import budget_greedy
 from candex.plans.ordered import group_count, ordered, position
 
@@ -128,6 +129,68 @@ def trimmed(spark, d):
     return W.edge_trim(e, ["user_id"], TIMES, "flat").select("user_id", "event_id")
 
 
+def _lines_sql(cells: str, line: str, place: str) -> str:
+    """Lines of each grid and whether they are flat and dark, on a sample of their cells."""
+    return f"""(SELECT g, {line}, sum(v) <= 26 * count(*) AND count(*) * sum(v * v) - sum(v) * sum(v) <= 36 * count(*) * count(*) AS flat
+      FROM (SELECT *, count(*) OVER w AS cells, min({place}) OVER w AS p0 FROM {cells} WINDOW w AS (PARTITION BY g, {line}))
+      WHERE ({place} - p0) % (CASE WHEN cells >= 256 THEN 4 ELSE 2 END) = 0 GROUP BY g, {line})"""
+
+
+def _bars_sql(lines: str, line: str, p: str) -> str:
+    """First line, size, and the cuts at both ends."""
+    return f"""(SELECT g, f AS {p}first, n AS {p}size,
+        CASE WHEN n < 4 OR (a >= n // 4 AND b >= n // 4) THEN 0 WHEN odd THEN least(a, b) ELSE a END AS {p}lead,
+        CASE WHEN n < 4 OR (a >= n // 4 AND b >= n // 4) THEN 0 WHEN odd THEN least(a, b) ELSE b END AS {p}trail
+      FROM (SELECT *, a >= n // 4 OR b >= n // 4 OR abs(a - b) > greatest(n // 60, 4) AS odd
+        FROM (SELECT g, f, n, least(coalesce(lo - f, n), n // 4) AS a, least(coalesce(t - hi, n), n // 4) AS b
+          FROM (SELECT g, min({line}) AS f, max({line}) AS t, max({line}) - min({line}) + 1 AS n,
+                  min({line}) FILTER (WHERE NOT flat) AS lo, max({line}) FILTER (WHERE NOT flat) AS hi FROM {lines} GROUP BY g))))"""
+
+
+def _inside_sql(line: str, p: str) -> str:
+    return f"{line} - {p}first >= {p}lead AND {line} - {p}first < {p}size - {p}trail"
+
+
+def _even_sql(p: str) -> str:
+    stop = f"({p}size - {p}trail)"
+    return f"{p}lead - {p}lead % 2 AS {p}lead, CASE WHEN {p}trail = 0 THEN 0 ELSE {p}size - least({stop} + {stop} % 2, {p}size) END AS {p}trail"
+
+
+@query(
+    "w5_active_area",
+    f"""WITH raw AS (SELECT vec_id // 64 AS g, vec_id % 64 AS r, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding) AS x
+            FROM embeddings WHERE vec_id IS NOT NULL),
+       cells AS (SELECT g, r, c, CASE WHEN g % 5 = 4 OR r < g * 5 % 14 OR r >= 64 - g * 5 % 14 - g % 6 OR c < g * 3 % 11
+              OR c >= 64 - g * 3 % 11 - g % 3 * 2 THEN 16 + (r + c) % 2
+            ELSE 40 + CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) % 200 END AS v FROM raw WHERE x IS NOT NULL AND isfinite(x)),
+       y AS {_bars_sql(_lines_sql("cells", "r", "c"), "r", "y")},
+       part AS (SELECT c.* FROM cells c JOIN y USING (g) WHERE {_inside_sql("r", "y")}),
+       x AS {_bars_sql(_lines_sql("part", "c", "r"), "c", "x")},
+       b AS (SELECT g, yfirst, ysize, {_even_sql("y")}, xfirst, xsize, {_even_sql("x")},
+            ylead + ytrail + xlead + xtrail > 0 AND xsize >= 4 AND ysize >= 4 AS bars FROM y JOIN x USING (g)),
+       mid AS (SELECT g, r, c, v, count(*) OVER w AS cells, min(r) OVER w AS r0, min(c) OVER w AS c0 FROM cells JOIN b USING (g)
+            WHERE bars AND {_inside_sql("r", "y")} AND {_inside_sql("c", "x")} WINDOW w AS (PARTITION BY g)),
+       s AS (SELECT *, CASE WHEN cells <= 16384 THEN 1 WHEN cells <= 262144 THEN 2 ELSE 4 END AS step FROM mid),
+       k AS (SELECT g, sum(v) <= 26 * count(*) AND count(*) * sum(v * v) - sum(v) * sum(v) <= 36 * count(*) * count(*) AS dark
+            FROM s WHERE (r - r0) % step = 0 AND (c - c0) % step = 0 GROUP BY g),
+       o AS (SELECT b.*, bars AND NOT coalesce(dark, FALSE) AS cut FROM b LEFT JOIN k USING (g))
+       SELECT g, CAST(CASE WHEN cut THEN ylead ELSE 0 END AS BIGINT) AS top, CAST(CASE WHEN cut THEN xlead ELSE 0 END AS BIGINT) AS "left",
+         CAST(CASE WHEN cut THEN ysize - ylead - ytrail ELSE ysize END AS BIGINT) AS height,
+         CAST(CASE WHEN cut THEN xsize - xlead - xtrail ELSE xsize END AS BIGINT) AS width, cut FROM o""",
+)
+def framed(spark, d):
+    """Vectors as lines of grids of 64, with bars whose thickness follows from the grid's number."""
+    e = table(spark, d, "embeddings").where("vec_id IS NOT NULL")
+    raw = e.select(int_div("vec_id", 64).alias("g"), (F.col("vec_id") % 64).alias("r"), F.posexplode("embedding").alias("c", "x"))
+    raw = raw.where("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')")
+    g, r, c = F.col("g"), F.col("r"), F.col("c").cast("long")
+    tall, wide = g * 5 % 14, g * 3 % 11
+    bar = (g % 5 == 4) | (r < tall) | (r >= 64 - tall - g % 6) | (c < wide) | (c >= 64 - wide - g % 3 * 2)
+    bright = F.floor(F.abs(F.col("x").cast("double")) * 1000).cast("long") % 200 + 40
+    cells = raw.select("g", "r", c.alias("c"), F.when(bar, (r + c) % 2 + 16).otherwise(bright).alias("v"))
+    return active_area(cells, ["g"], "r", "c", "v")
+
+
 @query(
     "w6_cumulative_offsets",
     f"""WITH {ITEMS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candex.operators import lookups as J
 from candex.operators import windows as W
+from candex.operators.areas import active_area
 from candex.operators.expand import paint_last, rle_encode, rle_expand
 from candex.operators.folds import budget_greedy, layer_fold
 from candex.operators.graph import follow_links
@@ -192,6 +193,59 @@ def test_edge_trim_is_the_loop(spark):
         assert {(r["k"], r["i"]) for r in W.edge_trim(df, ["k"], ["i"], "f", group_rows=group_rows).collect()} == want
 
 
+def test_active_area_is_the_loop(spark):
+    rng = random.Random(6)
+
+    def dark(values):
+        n, s, q = len(values), sum(values), sum(x * x for x in values)
+        return n > 0 and s <= 26 * n and n * q - s * s <= 36 * n * n
+
+    def pair(flags):
+        n, cap = len(flags), len(flags) // 4
+        a = next((i for i in range(cap) if not flags[i]), cap)
+        b = next((i for i in range(cap) if not flags[n - 1 - i]), cap)
+        if a >= cap and b >= cap:
+            return 0, 0
+        return (min(a, b),) * 2 if a >= cap or b >= cap or abs(a - b) > max(n // 60, 4) else (a, b)
+
+    def line(values):
+        return dark(values[:: 4 if len(values) >= 256 else 2])
+
+    def area(grid):
+        h, w = len(grid), len(grid[0])
+        full = (0, 0, h, w, False)
+        if h < 4 or w < 4:
+            return full
+        top, bottom = pair([line(x) for x in grid])
+        left, right = pair([line(list(x)) for x in zip(*grid[top:h - bottom])])
+        if top + bottom + left + right == 0:
+            return full
+        y0, x0 = top & ~1, left & ~1
+        y1, x1 = (n if not cut else min(n - cut + 1 & ~1, n) for n, cut in ((h, bottom), (w, right)))
+        step = 1 if (y1 - y0) * (x1 - x0) <= 16384 else 2
+        if dark([v for x in grid[y0:y1:step] for v in x[x0:x1:step]]):
+            return full
+        return y0, x0, y1 - y0, x1 - x0, True
+
+    def picture(h, w, top, bottom, left, right, light):
+        return [[light(y, x) if top <= y < h - bottom and left <= x < w - right else rng.randrange(14, 19) for x in range(w)] for y in range(h)]
+
+    bright = lambda y, x: rng.randrange(40, 200)
+    grids = {
+        "both": picture(48, 60, 5, 6, 3, 4, bright), "odd": picture(33, 41, 3, 0, 0, 5, bright), "thick": picture(40, 40, 10, 10, 2, 2, bright),
+        "one thick": picture(40, 60, 10, 3, 14, 2, bright), "uneven": picture(60, 44, 2, 9, 0, 0, bright), "none": picture(20, 20, 0, 0, 0, 0, bright),
+        "dark": picture(40, 40, 6, 6, 4, 4, lambda y, x: 17), "spot": picture(40, 40, 6, 6, 4, 4, lambda y, x: 17 + 30 * (y % 8 == x % 8 == 0)),
+        "thin": picture(3, 30, 0, 0, 5, 5, bright), "narrow": picture(30, 3, 5, 5, 0, 0, bright), "long": picture(130, 280, 9, 11, 21, 24, bright), None: picture(24, 24, 2, 2, 2, 2, bright),
+    }
+    # Places are counted from the smallest ones, wherever they are.
+    rows = [(k, y - 7, x + 5, v) for k, grid in grids.items() for y, line_ in enumerate(grid) for x, v in enumerate(line_)]
+    rng.shuffle(rows)
+    got = active_area(spark.createDataFrame(rows, "k STRING, y INT, x INT, v INT"), ["k"], "y", "x", "v").collect()
+    assert {r["k"]: tuple(r)[1:] for r in got} == {k: area(grid) for k, grid in grids.items()}
+    empty = spark.createDataFrame([], "k STRING, y INT, x INT, v INT")
+    assert active_area(empty, ["k"], "y", "x", "v").isEmpty()
+
+
 def test_follow_links_is_the_depth_first_search(spark):
     """With a depth limit that does not bind: visited nodes are not retried, the first terminal wins."""
     rng = random.Random(11)
