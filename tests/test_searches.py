@@ -110,6 +110,37 @@ def test_a_long_chain_takes_log_rounds(spark, monkeypatch):
     assert len(written) <= 18
 
 
+@pytest.fixture()
+def written(monkeypatch):
+    """Rows of each written table."""
+    rows, pin = [], limits.pin
+
+    def counted(df):
+        out = pin(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(limits, "pin", counted)
+    return rows
+
+
+def test_contracted_lists_have_the_same_ranks(spark):
+    rng = random.Random(5)
+    links = [(n, rng.choice([None, 7, 999, rng.randrange(300), *[n + 1] * 40])) for n in range(300)]
+    links += [(n, n + 1 if n < 449 else 400) for n in range(400, 450)] + [(n, n + 1 if n < 479 else 420) for n in range(460, 480)]
+    nodes = limits.pin(linked(spark, links, lambda n: n % 5))
+    found = {short: sorted(map(tuple, rank_list(nodes, "n", "after", "w", short).collect()), key=str) for short in (1000, 20)}
+    assert found[20] == found[1000] and len(found[20]) == 370 and {r[4] for r in found[20]} == {"end", "missing", "cycle"}
+
+
+def test_ranks_write_each_node_a_few_times(spark, written):
+    n = 20_000
+    nodes = spark.range(n).select(F.col("id").alias("n"), F.when(F.col("id") < n - 1, F.col("id") + 1).alias("after"), F.lit(2).cast("long").alias("w"))
+    found = rank_list(nodes, "n", "after", "w", 500)
+    assert found.where(f"hops <> {n - 1} - n OR total <> 2 * ({n} - n) OR status <> 'end'").count() == 0
+    assert found.count() == n and sum(written) < 8 * n
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_chain_rows_with_shared_tails(spark, seed):
     rng = random.Random(seed)
