@@ -167,6 +167,15 @@ def test_chain_rows_with_shared_tails(spark, seed):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
 
 
+def test_rows_of_heads_that_share_a_chain_are_not_written(spark, written):
+    n = 1500
+    nodes = limits.pin(linked(spark, [(i, i + 1 if i < n - 1 else None) for i in range(n)], lambda i: 1))
+    heads = spark.range(0, n, 10).select(F.concat(F.lit("f"), "id").alias("file"), F.col("id").alias("head"))
+    found = chain_rows(heads, nodes, ["file"], "head", "n", "after", "w")
+    assert found.where("place <> start OR file <> concat('f', n - place)").isEmpty()
+    assert found.count() == sum(n - h for h in range(0, n, 10)) and sum(written) < 20 * n
+
+
 def test_extents_of_linked_blocks(spark):
     rows = [
         ("a", 1, 5, None, "x"), ("a", 2, 7, None, "y"), ("a", 3, 1, "b", "link"), ("a", 4, 100, None, "after the link"),
