@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candex.functions.numbers import _c
 from candex.plans import limits
@@ -58,17 +62,98 @@ def _dyadic(start: str, stop: str) -> Column:
     return F.filter(F.flatten(F.transform(levels, at_level)), lambda node: node.isNotNull())
 
 
+#: Intervals of one group that a task may paint at once, and about how many it gets; types whose equality Arrow shares with Spark.
+_PAINTED, _BUCKET = 500_000, 100_000
+_SIMPLE = (T.IntegralType, T.StringType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value, null included."""
+    return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _paint(table: pa.Table, keys: int) -> pa.Table:
+    """The runs seen of whole groups of intervals: columns are the keys, then start, stop, number and value.
+
+    All groups lie behind each other on one line of bounds. A stretch takes the last drawing of the blocks it is in: an
+    interval is two blocks of one power of two, and from the longest down each block hands its drawing to its halves.
+    """
+    group = np.zeros(len(table), np.int64)
+    for i in range(keys):
+        own = _codes(table.column(i))
+        group = np.unique(group * (own.max(initial=0) + 2) + own + 1, return_inverse=True)[1]
+    low, high = (table.column(keys + i).to_numpy() for i in (0, 1))
+    drawn = np.asarray(pc.sort_indices(table.column(keys + 2), null_placement="at_start")).astype(np.int64)
+    rank = np.empty_like(drawn)
+    rank[drawn] = np.arange(len(drawn))
+
+    groups, places = np.concatenate([group, group]), np.concatenate([low, high])
+    by = np.lexsort((places, groups))
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = (np.diff(groups[by]) != 0) | (np.diff(places[by]) != 0)
+    bound = np.empty(len(by), np.int64)
+    bound[by] = np.cumsum(fresh) - 1
+    places = places[by][fresh]
+    first, last = bound[: len(low)], bound[len(low) :]
+    level = np.frexp((last - first).astype(float))[1] - 1
+    top = np.full(len(places), -1, np.int64)
+    for k in range(int(level.max(initial=0)), -1, -1):
+        half = 1 << k
+        below = top.copy()
+        np.maximum(below[half:], top[:-half], out=below[half:])
+        top, here = below, level == k
+        np.maximum.at(top, first[here], rank[here])
+        np.maximum.at(top, last[here] - half, rank[here])
+
+    seen = np.flatnonzero(top >= 0)
+    rows = drawn[top[seen]]
+    value = _codes(table.column(keys + 3))[rows]
+    opens = np.ones(len(seen), bool)
+    opens[1:] = (np.diff(seen) != 1) | (np.diff(value) != 0)
+    starts = np.flatnonzero(opens)
+    ends = np.append(starts[1:], len(seen))[: len(starts)] - 1
+    chosen = table.take(pa.array(rows[starts]))
+    columns = [*chosen.columns[:keys], pa.array(places[seen[starts]]), pa.array(places[seen[ends] + 1]), chosen.column(keys + 3)]
+    return pa.table(columns, names=[*table.column_names[:keys], "start", "stop", "value"])
+
+
 def paint_runs(df: DataFrame, keys: list[str], start: str, stop: str, draw_no: str, value: str, group_rows=None) -> DataFrame:
     """What is seen of ``[start, stop)`` intervals drawn over each other, as maximal runs: ``keys, start, stop, value``.
 
     ``draw_no`` is unique per ``keys``; the greatest one is on top. Null bounds and empty intervals draw nothing; a null
-    value is drawn like others. Intervals are put together from dyadic nodes, at most two of each size, of which every node
-    keeps its last drawing. Between two neighbouring bounds nothing changes, so each stretch between bounds looks at the
-    nodes above its first cell. An interval costs rows in proportion to the logarithm of its length.
+    value is drawn like others. Spark deals whole groups to tasks, which paint many of them at once, a row for each interval.
+    Groups of more than ``group_rows`` are put together from dyadic nodes; so are keys, numbers and values without a plain type.
     """
     drawn = df.where(F.col(start) < F.col(stop)).select(
-        *keys, F.col(start).cast("long").alias("_a"), F.col(stop).cast("long").alias("_b"), F.struct(F.col(draw_no).alias("no"), F.col(value).alias("v")).alias("_d")
+        *keys, F.col(start).cast("long").alias("_a"), F.col(stop).cast("long").alias("_b"), F.col(draw_no).alias("_no"),
+        F.when(F.col(draw_no).isNotNull(), F.col(value)).alias("_v"),
     )
+    if not all(isinstance(drawn.schema[c].dataType, _SIMPLE) for c in [*keys, "_no", "_v"]):
+        return _paint_large(drawn, keys, group_rows)
+    buckets, large = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
+    if group_rows is not None or not limits.small_input(drawn):
+        most = min(limits.limit(df.sparkSession, "groupRows") if group_rows is None else group_rows, _PAINTED)
+        drawn = limits.pin(drawn)
+        buckets = max(buckets, drawn.count() // _BUCKET)
+        large = limits.pin(drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"))
+        large = None if large.isEmpty() else large
+    names = [*keys, "_a", "_b", "_no", "_v"]
+    cold = drawn if large is None else join_on(drawn, large, keys, "left_anti")
+    cold = cold.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.pmod(F.xxhash64(F.lit(0), *keys), F.lit(buckets)).alias("_bucket"))
+    n, kinds = len(keys), [drawn.schema[c].dataType for c in [*keys, "_a", "_b", "_v"]]
+    fields = [*[f"_c{i}" for i in range(n)], "start", "stop", "value"]
+    schema = T.StructType([T.StructField(c, kind) for c, kind in zip(fields, kinds, strict=True)])
+    runs = cold.groupBy("_bucket").applyInArrow(lambda table: _paint(table.drop_columns("_bucket"), n), schema)
+    runs = runs.select(*[F.col(f"_c{i}").alias(k) for i, k in enumerate(keys)], "start", "stop", "value")
+    return runs if large is None else runs.unionByName(_paint_large(join_on(drawn, large, keys, "left_semi"), keys, group_rows))
+
+
+def _paint_large(drawn: DataFrame, keys: list[str], group_rows: int | None) -> DataFrame:
+    """``paint_runs`` for groups too large for a task. Intervals are put together from dyadic nodes, at most two of each size,
+    of which every node keeps its last drawing. Between two neighbouring bounds nothing changes, so each stretch between bounds
+    looks at the nodes above its first cell. An interval costs rows in proportion to the logarithm of its length.
+    """
+    drawn = drawn.withColumn("_d", F.struct(F.col("_no").alias("no"), F.col("_v").alias("v"))).drop("_no", "_v")
     nodes = drawn.select(*keys, "_d", F.inline(_dyadic("_a", "_b")))
     nodes = limits.pin(nodes.groupBy(*keys, "level", "place").agg(F.max_by("_d", "_d.no").alias("_d")))
     levels = [r[0] for r in nodes.select("level").distinct().collect()]  # at most 63

@@ -305,3 +305,16 @@ def test_translated_extents_add_up(spark, seed):
             else:
                 expected[i, c] = ("not recorded", None) if best[3] is None else ("ok", best[3] + p - best[0])
     assert cells == expected
+
+
+def test_an_interval_is_one_row_however_long(spark, written):
+    spark.conf.set("spark.candex.checkBytes", "0")
+    try:
+        rng = random.Random(3)
+        rows = [(rng.choice([None, "a", "b"]), a := rng.randrange(2000), a + rng.randrange(1, 1500), no, rng.choice([None, 1, 2])) for no in range(400)]
+        table = limits.pin(spark.createDataFrame(rows, "k string, a long, b long, no int, v int"))
+        written.clear()
+        found = {(r.k, r.cell): r.value for r in paint_last(table, ["k"], "a", "b", "no", "v").collect()}
+    finally:
+        spark.conf.unset("spark.candex.checkBytes")
+    assert found == {(k, cell): v for k, a, b, _, v in rows for cell in range(a, b)} and sum(written) <= 2 * len(rows)
