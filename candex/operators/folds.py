@@ -116,13 +116,15 @@ def layer_fold(
     """Ordered alpha compositing per group, from a transparent start; ``layers`` counts all layers of a group.
 
     With ``max_layers`` only the first layers of a group are drawn and counted. An opaque layer hides all before it, so
-    only what follows a group's last one is gathered. Stacks above ``fold_rows`` layers are cut into chunks that are folded
-    in parallel, as maps of what lies below them; their values must lie within 0..255.
+    only what follows a group's last one is gathered. Stacks above ``fold_rows`` layers go to tasks that fold many of them side
+    by side, and those too tall for a task are cut into chunks that are folded in parallel, as maps of what lies below them;
+    the values of both must lie within 0..255.
     """
     drawn = df if max_layers is None else first_rows(df, keys, order, max_layers)
     fold_rows = fold_rows or limits.limit(df.sparkSession, "foldRows")
     value = F.struct(*[F.col(c).cast("long").alias(c) for c in [*channels, alpha]])
-    rows = ordered(drawn, keys, order, group_rows).scan(_at=position()).rows().select(*keys, "_at", value.alias("_v"))
+    # Read for the sizes, the short stacks and the long ones.
+    rows = limits.pin(ordered(drawn, keys, order, group_rows).scan(_at=position()).rows().select(*keys, "_at", value.alias("_v")))
     names = [f"_k{i}" for i in range(len(keys))]
     match = same_keys([F.col(k) for k in keys], [F.col(n) for n in names])
     opaque = F.max(F.when(F.col(f"_v.{alpha}") == 255, F.col("_at")))
@@ -140,19 +142,25 @@ def layer_fold(
         return out.select(*keys, "layers", flat.alias("_f")).select(*keys, "layers", "_f.*")
     small = (seen.join(large.select(*names), match, "left_anti") if keys else seen.where(F.lit(False))).groupBy(*keys).agg(stack.alias("_stack"), F.max("layers").alias("layers"))
     out = small.select(*keys, "layers", flat.alias("_f")).select(*keys, "layers", "_f.*")
-    large = limits.pin(large.select(*names, "layers", F.monotonically_increasing_id().alias("_g")))
-    parts = seen.drop("layers").join(large.drop("layers"), match).select(
-        "_g", int_div(F.col("_at"), fold_rows).alias("_chunk"), (F.col("_at") % fold_rows).alias("_at"), "_v.*"
-    )
+    held = F.col("layers") - F.col("_from") + 1
+    large = limits.pin(large.select(*names, "layers", held.alias("_held"), F.monotonically_increasing_id().alias("_g")))
+    parts = seen.drop("layers").join(large.drop("layers"), match).select("_g", "_held", "_at", "_v.*")
     # A row per stack, from numpy in tasks; written, as readers of the result would run all of it again.
-    folded = limits.pin(_table_fold(limits.pin(parts), channels, alpha))
+    spark = df.sparkSession
+    most = max(fold_rows, min(limits.limit(spark, "groupRows"), _SIDE_ROWS))
+    total, tallest = large.agg(F.sum("_held"), F.max("_held")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET)
+    folded = limits.pin(_side_by_side(parts.where(F.col("_held") <= most), channels, alpha, buckets))
+    if tallest > most:
+        cut = parts.where(F.col("_held") > most).withColumns({"_chunk": int_div(F.col("_at"), fold_rows), "_at": F.col("_at") % fold_rows})
+        folded = folded.unionByName(limits.pin(_table_fold(limits.pin(cut.drop("_held")), channels, alpha)))
     folded = large.join(folded, "_g").select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "layers", *channels, alpha)
     return out.unionByName(folded) if keys else folded
 
 
 def _checked(frame: pd.DataFrame, columns: list[str]) -> list[np.ndarray]:
     """The columns of a chunk in order as whole numbers from 0 to 255."""
-    frame = frame.sort_values("_at")
+    frame = frame.sort_values("_at", kind="stable")
     found = []
     for name in columns:
         values = frame[name]
@@ -171,6 +179,39 @@ def _composed(maps: np.ndarray) -> np.ndarray:
     return maps[0]
 
 
+#: Layers of one stack that a task folds one by one, and about how many layers it gets. A step takes as long for one stack as
+#: for hundreds, so taller stacks, of which a task has few, are left to maps.
+_SIDE_ROWS, _BUCKET = 8_192, 100_000
+
+
+def _side_by_side(parts: DataFrame, channels: list[str], alpha: str, buckets: int) -> DataFrame:
+    """Folds whole stacks ``_g, _at`` and values, each bucket of them layer by layer: a step takes the next layer of all."""
+
+    def folded(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_g", "_at"], ignore_index=True)
+        number = frame.groupby("_g").cumcount().to_numpy()
+        depth = frame.groupby("_g")["_at"].transform("size").to_numpy()
+        # By layer, the tallest stacks first: those that have a layer are always the first ones.
+        by = np.lexsort((frame["_g"], -depth, number))
+        tops = _checked(frame.iloc[by].assign(_at=0), [*channels, alpha])
+        stops = np.cumsum(np.bincount(number))
+        state = [np.zeros(stops[0], np.int64) for _ in tops]
+        for low, high in zip([0, *stops[:-1]], stops, strict=True):
+            n = high - low
+            ta, ua = tops[-1][low:high], state[-1][:n].copy()
+            rest = ua * (255 - ta) // 255
+            hides, whole = (ta == 255) | (ua == 0), ta + rest
+            for held, top in zip(state[:-1], tops[:-1], strict=True):
+                v = top[low:high]
+                held[:n] = np.where(hides, v, (v * ta + held[:n] * rest + whole // 2) // np.maximum(whole, 1))
+            state[-1][:n] = np.where(hides, ta, whole)
+        return pd.DataFrame({"_g": frame["_g"].to_numpy()[by][: stops[0]]} | dict(zip([*channels, alpha], state, strict=True)))
+
+    kinds = "_g long, " + ", ".join(f"`{c}` long" for c in [*channels, alpha])
+    dealt = parts.drop("_held").withColumn("_bucket", F.pmod(F.xxhash64("_g"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandas(lambda frame: folded(frame.drop(columns="_bucket")), kinds)
+
+
 #: Layers whose maps are held at once.
 _MAPS = 4096
 
