@@ -161,9 +161,16 @@ def reachable_emits(
         roots.select(F.col(node).alias("root"), F.col(node).cast(kind).alias("_at")).distinct()
         .select("root", "_at", none.cast(kind).alias("_up"), none.cast("long").alias("_o"), F.lit(1).cast("long").alias("_upper"))
     )
+    parents = limits.pin(links.select(F.col("_up").cast(kind).alias("_at")).distinct())
     levels, seen = [level], _grown([], level)
     while max_depth is None or len(levels) <= max_depth:
-        ranked = ordered(levels[-1], ["root"], ["_upper", "_o", "_at"], group_rows).scan(_rank=position()).rows()
+        # Only nodes that lead on need a place among the others of their level.
+        onward = levels[-1].join(parents, "_at", "left_semi")
+        if len(levels) > 1:
+            onward = limits.pin(onward)
+            if onward.isEmpty():
+                break
+        ranked = ordered(onward, ["root"], ["_upper", "_o", "_at"], group_rows).scan(_rank=position()).rows()
         step = ranked.select("root", F.col("_at").alias("_up"), "_rank").join(links, "_up")
         step = step.groupBy("root", "_at").agg(F.min(F.struct("_rank", "_o", "_up")).alias("_p"))
         step = step.select("root", "_at", "_p._up", "_p._o", F.col("_p._rank").alias("_upper"))
