@@ -83,7 +83,9 @@ PLACES = ((1, 250), (2, 400), (3, 700))
 def group_search(spark, d):
     """The whole search for each customer: sets of parts, queue, quotas, sampled places, last resort, choice."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
-    lines = rank_candidates(items(spark, d).join(orders, "l_orderkey"), ["l_orderkey"], [], LINES)
+    # Sorted rows carry no more than the search reads.
+    bought = items(spark, d).select("l_orderkey", *LINES, "qty", "price").join(orders.drop("o_orderpriority"), "l_orderkey")
+    lines = rank_candidates(bought, ["l_orderkey"], [], LINES)
     # Read for the sets, the lengths, the places, the prices and the last resort.
     lines = limits.pin(lines.withColumnRenamed("rank_no", "part"))
     sets = group_parts(lines.withColumn("part", F.col("l_linenumber") - 1), ["o_custkey", "l_orderkey"], "part", "qty", LINES)
