@@ -368,6 +368,24 @@ def test_words_alone_have_the_ids_they_have_in_a_text():
     assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == wanted
 
 
+def test_words_of_latin_letters_skip_what_leaves_them_alone():
+    import pyarrow as pa
+
+    coder = tokens.WordTokens(tokens.public_vocabulary(), 2)
+    seen = []
+
+    class Lean:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(" ".join(texts).split())
+            return lean.encode_batch_fast(texts, **options)
+
+    lean, coder.lean = coder.lean, Lean()
+    text = "Straße, naïve CAFÉ ÿ zoo! zoo? cafe\u0301 \u017flong 12th don't ªµ ĳ ΟΔΟΣ über-all x1 ÆON"
+    ids, _ = coder.encode(pa.array([text] * 3, pa.large_string()))
+    assert sorted(seen) == ["naïve", "zoo", "ÿ"]
+    assert ids.tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2] * 3
+
+
 def test_damage_is_noticed(spark, docs, tmp_path):
     files = tokens.write_tokens(docs, path=str(tmp_path))
     name = max(tmp_path.iterdir(), key=lambda p: p.stat().st_size)
