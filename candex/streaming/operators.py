@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,15 @@ def _sorter(order: list[str]):
     """
 
     def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        found = list(batches)
+        rows = found[0].reset_index(drop=True) if len(found) == 1 else pd.concat(found, ignore_index=True)
+        at = [rows[c].to_numpy() for c in order]
+        if any(a.dtype.kind not in "iufM" for a in at):
+            return rows.sort_values(order, kind="stable", ignore_index=True)
+        # Numbers and times: the same order, without what pandas spends on a frame of few rows.
+        if len(at) == 1 and (at[0][1:] >= at[0][:-1]).all():
+            return rows
+        return rows.take(np.lexsort(at[::-1])).reset_index(drop=True)
 
     return in_order
 
@@ -79,53 +88,46 @@ def stream_reassemble(
     )
     in_order = _sorter(order)
 
+    def flags(rows: pd.DataFrame, name: str | None) -> list[bool]:
+        return [False] * len(rows) if name is None else [bool(v) and v == v for v in rows[name].tolist()]  # null is NaN or None
+
     def push(key, batches, held: GroupState):
+        # Keys have few rows: a pass over plain lists, as whole-frame operations cost milliseconds a key.
         fragment, parts, text, goal, opened, skip = held.get if held.exists else (0, 0, "", 0, False, False)
         rows = in_order(batches)
-        wrong = rows[broken].fillna(False).astype(bool) if broken is not None else pd.Series(False, rows.index)
-        first = rows[is_first].fillna(False).astype(bool) & ~wrong
-        # 0 is the fragment that was open before, then one for each first part.
-        f = pd.DataFrame({"no": first.cumsum(), "first": first, "piece": rows[part].fillna("")})
-        f["goal"] = rows[stated].fillna(0).where(first) if stated is not None else pd.Series(0, rows.index).where(first)
-        f["goal"] = f.groupby("no")["goal"].ffill().fillna(goal).astype("int64")
-        live = wrong.groupby(f["no"]).cumsum() == 0
-        live &= (f["no"] > 0) | bool(opened and not skip)
-        f["length"] = (f["piece"].str.len() + (~first) * len(separator)).where(live, 0)
-        f["length"] = f.groupby("no")["length"].cumsum() + (f["no"] == 0) * len(text)
-        f["full"] = (f["goal"] > 0) & (f["length"] >= f["goal"])
-        f["over"] = f["length"] > max_length if max_length is not None else False
-        f["last"] = rows[is_last].fillna(False).astype(bool)
-        ends = live & (f["full"] | f["over"] | f["last"])
-        used = f[live & (ends.groupby(f["no"]).cumsum() - ends == 0)]
-        joined = used.groupby("no").agg(
-            n=("piece", "size"), text=("piece", separator.join), goal=("goal", "first"), full=("full", "last"), over=("over", "last"), last=("last", "last")
-        )
-        top = int(f["no"].iloc[-1])
-        if opened and 0 not in joined.index:
-            joined.loc[0] = [0, "", goal, False, False, False]
-        joined = joined.sort_index()
-        if opened:
-            joined.loc[0, "text"] = separator.join([text, joined.loc[0, "text"]]) if joined.loc[0, "n"] else text
-            joined.loc[0, "n"] += parts
-        given = joined["over"].astype(bool) & ~joined["full"].astype(bool)
-        whole = (joined["full"] | joined["last"]).astype(bool) & ~given
-        closed = whole | given
-        # One that is neither is closed by the first part after it; the newest stays open.
-        done = joined[closed | (joined.index < top)]
-        cut = [t[:g] if g > 0 and w else t for t, g, w in zip(done["text"], done["goal"], whole[done.index], strict=True)]
-        result = pd.DataFrame({"fragment": done.index + fragment, "parts": done["n"], "text": cut, "complete": whole[done.index]})
-        result = result.astype({"fragment": "int64", "parts": "Int64", "complete": "bool"})
-        result.loc[given[done.index], ["parts", "text"]] = [pd.NA, None]
-        stays = top in joined.index and not closed[top]
-        skipping = bool(wrong[f["no"] == top].any() or (top == 0 and skip))
-        kept = joined.loc[top] if stays else None
-        held.update(
-            (int(fragment + top), int(kept["n"]) if stays else 0, kept["text"] if stays else "", int(kept["goal"]) if stays else 0, bool(stays), skipping)
-        )
-        if len(result):
-            for k, v in reversed(list(zip(keys, key, strict=True))):
-                result.insert(0, k, v)
-            yield result.reset_index(drop=True)
+        texts = [v if isinstance(v, str) else "" for v in rows[part].tolist()]
+        goals = [int(v) if v is not None and v == v else 0 for v in rows[stated].tolist()] if stated is not None else [0] * len(texts)
+        pieces, length = [text] if opened else [], len(text)
+        done = []
+        for first, wrong, last, piece, size in zip(flags(rows, is_first), flags(rows, broken), flags(rows, is_last), texts, goals, strict=True):
+            if wrong:
+                skip = True
+                continue
+            if first:
+                if opened:
+                    done.append((fragment, parts, separator.join(pieces), False))
+                fragment, parts, pieces, length, goal, opened, skip = fragment + 1, 0, [], 0, size, True, False
+            elif skip or not opened:
+                continue
+            else:
+                length += len(separator)
+            parts += 1
+            pieces.append(piece)
+            length += len(piece)
+            full = 0 < goal <= length
+            if not full and max_length is not None and length > max_length:
+                done.append((fragment, None, None, False))
+                opened = False
+            elif full or last:
+                whole = separator.join(pieces)
+                done.append((fragment, parts, whole[:goal] if goal > 0 else whole, True))
+                opened = False
+        held.update((fragment, parts, separator.join(pieces), goal, True, skip) if opened else (fragment, 0, "", 0, False, skip))
+        if done:
+            numbers, counts, whole, complete = zip(*done, strict=True)
+            result = {k: [v] * len(done) for k, v in zip(keys, key, strict=True)}
+            result |= {"fragment": numbers, "parts": pd.array(counts, "Int64"), "text": pd.Series(whole, dtype=object), "complete": complete}
+            yield pd.DataFrame(result)
 
     return _keyed(sdf, keys, push, out, state)
 

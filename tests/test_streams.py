@@ -2,7 +2,9 @@
 
 import math
 import tempfile
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,27 @@ def test_reassemble_stated_and_broken(parts):
     assert same(got, want, "k", "fragment", "parts", "text", "complete")
 
 
+def test_a_key_of_few_rows_costs_little(spark, monkeypatch):
+    """Whole-frame operations for every key took some 10 ms of CPU a key."""
+    monkeypatch.setattr(T, "_keyed", lambda sdf, keys, fn, out, state: fn)
+    push = T.stream_reassemble(spark.createDataFrame([], SCHEMA), ["k"], ["i"], "f", "l", "t", " | ")
+    turns = pd.DataFrame({"k": "a", "i": range(6), "f": [True, False] * 3, "l": [False, True] * 3, "t": list("uvwxyz")})
+
+    class Held:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    start = time.process_time()
+    for _ in range(300):
+        held = Held()
+        (found,) = push(("a",), iter([turns[::-1]]), held)
+    assert time.process_time() - start < 300 * 0.004
+    assert found["text"].tolist() == ["u | v", "w | x", "y | z"] and found["fragment"].tolist() == [1, 2, 3]
+    assert held.value == (3, 0, "", 0, False, False)
+
+
 def test_counters(parts):
     sdf, df = parts
     got = drain_update(T.stream_counters(sdf, ["k"], F.col("f")), ["k"], "test")
