@@ -15,6 +15,7 @@ from candex.operators import lookups as J
 from candex.operators import windows as W
 from candex.operators.folds import budget_greedy, layer_fold
 from candex.plans import limits
+from candex.plans.joins import asof
 from candex.plans.ordered import ordered, running_max
 from candex.sources.tables import write_selection
 from candex.streaming.sinks import drain_append, drain_update, stream_folder
@@ -170,3 +171,13 @@ def test_only_ascii_letters_fold(spark):
     df = spark.createDataFrame([("a.\u212aey",), ("A.KEY",), ("\u0130.key",)], "n STRING")
     got = [tuple(r) for r in df.select(has_ext("n", ["key"]), stem_in("n", ["a"])).collect()]
     assert got == [(False, True), (True, True), (True, False)]
+
+
+def test_scans_of_joins_carry_no_hash(spark, capsys):
+    left = spark.range(600).selectExpr("id % 2 AS k", "id % 7 AS t", "id")
+    right = spark.range(900).selectExpr("id % 2 AS k", "id % 5 AS u", "id AS w")
+    plain = asof(left, right, ["k"], "t", "u", ["w"], ["u", "w"])
+    plain.explain(True)
+    assert "xxhash64" not in capsys.readouterr().out
+    cut = asof(left, right, ["k"], "t", "u", ["w"], ["u", "w"], group_rows=100)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
