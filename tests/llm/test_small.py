@@ -341,6 +341,69 @@ def test_range_coder_round_trip(blocks):
     assert all((a == b).all() for a, b in zip(blocks, found, strict=True))
 
 
+def test_ids_of_a_run_cost_what_their_frequencies_say():
+    rng = np.random.default_rng(3)
+    kinds = rng.choice(49_152, 300, replace=False)
+    ids = rng.choice(kinds, 64 * 512).astype(np.uint16)
+    coded = list(tokens._coded(ids))
+    assert sum(map(len, coded)) * 8 < 9 * len(ids)  # 8.23 bits is the entropy; 16.25 were taken before
+    data = tokens.MAGIC + b"".join(coded)
+    data += tokens._END.pack(len(data), 0, tokens.MAGIC)
+    assert (np.concatenate(list(tokens.read_frames(np.frombuffer(data, np.uint8)))) == ids).all()
+
+
+def test_models_of_a_block_are_small():
+    from candex.llm.rangecoder import _Lanes
+
+    # A step reads the models of thousands of blocks; those of six tasks at once should stay in the cache. 2.5 KB before.
+    assert sum(v.nbytes for v in vars(_Lanes(64)).values() if isinstance(v, np.ndarray)) / 64 < 1000
+
+
+def test_range_coder_with_shares_of_its_ids():
+    from candex.llm.rangecoder import shares_of
+
+    rng = np.random.default_rng(4)
+    runs = {
+        "many kinds": rng.integers(0, 1 << 16, 40_000),  # above 4096 kinds, shares of 2**18
+        "rare kinds": np.minimum(rng.zipf(1.3, 40_000) - 1, 65_535),
+        "one kind": np.full(3000, 65_535),
+        "one id": np.array([7]),
+        "pairs": np.tile([5, 9, 5, 11], 5000),
+        "mostly one": np.where(rng.random(100_000) < 0.0005, rng.integers(0, 4000, 100_000), 4000),
+    }
+    for name, ids in runs.items():
+        blocks = [ids[i : i + 512].astype(np.uint16) for i in range(0, len(ids), 512)]
+        shares = shares_of(ids)
+        assert shares.sum() in (1 << 16, 1 << 18) and ((shares > 0) == (np.bincount(ids, minlength=1 << 16) > 0)).all(), name
+        found = decode_blocks(encode_blocks(blocks, shares), [len(b) for b in blocks], shares)
+        assert all((a == b).all() for a, b in zip(blocks, found, strict=True)), name
+
+
+def test_carries_reach_every_word():
+    from candex.llm.rangecoder import _Words
+
+    words = _Words(2, 8)
+    for lane, value in ((0, 7), (0, 65_535), (0, 65_535), (1, 3)):
+        words.put(np.array([lane]), np.array([value << 48], np.uint64))
+    words.carry(np.array([0]))
+    assert [np.frombuffer(c, "<u2").tolist() for c in words.codes()] == [[8, 0, 0], [3]]
+
+
+def test_damage_anywhere_in_a_run_is_noticed():
+    ids = np.random.default_rng(5).integers(0, 900, 5000).astype(np.uint16)
+    data = tokens.MAGIC + b"".join(tokens._coded(ids))
+    end = tokens._END.pack(len(data), 0, tokens.MAGIC)
+    for at in [*range(len(tokens.MAGIC), 60), *range(60, len(data), 61)]:
+        broken = bytearray(data + end)
+        broken[at] ^= 4
+        try:
+            found = np.concatenate(list(tokens.read_frames(np.frombuffer(bytes(broken), np.uint8))))
+        except ValueError as error:
+            assert "damaged" in str(error), at
+        else:  # the last words of a code only end it
+            assert (found == ids).all(), at
+
+
 def test_token_files_round_trip(spark, docs, clashing, nothing):
     from tokenizers import Tokenizer
 
