@@ -352,6 +352,33 @@ def test_ids_of_a_run_cost_what_their_frequencies_say():
     assert (np.concatenate(list(tokens.read_frames(np.frombuffer(data, np.uint8)))) == ids).all()
 
 
+def test_order_0_adapts_in_each_block():
+    rng = np.random.default_rng(6)
+    kinds = rng.choice(49_152, 4000, replace=False)
+    # Each block has twenty ids of its own in any order; over the run all 4000 are as frequent.
+    ids = np.concatenate([rng.choice(rng.choice(kinds, 20, replace=False), 512) for _ in range(400)]).astype(np.uint16)
+    coded = list(tokens._coded(ids))
+    assert sum(map(len, coded)) * 8 < 10.5 * len(ids)  # 12.5 where the frequencies of the run stayed as they are
+    data = tokens.MAGIC + b"".join(coded)
+    data += tokens._END.pack(len(data), 0, tokens.MAGIC)
+    assert (np.concatenate(list(tokens.read_frames(np.frombuffer(data, np.uint8)))) == ids).all()
+
+
+def test_counts_of_order_0_in_long_blocks():
+    from candex.llm.rangecoder import shares_of
+
+    rng = np.random.default_rng(8)
+    runs = {
+        "one kind": np.full(3000, 9), "two kinds": rng.integers(0, 2, 3000) * 65_535, "few": rng.zipf(1.5, 3000) % 300,
+        "many": rng.integers(0, 1 << 16, 3000), "in turn": np.arange(3000) // 700 * 9000,
+    }
+    for name, ids in runs.items():
+        blocks = [ids[i : i + 1300].astype(np.uint16) for i in range(0, len(ids), 1300)]
+        for shares in (shares_of(ids), None):
+            found = decode_blocks(encode_blocks(blocks, shares), [len(b) for b in blocks], shares)
+            assert all((a == b).all() for a, b in zip(blocks, found, strict=True)), name
+
+
 def test_models_of_a_block_are_small():
     from candex.llm.rangecoder import _Lanes
 
